@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, token_counts
+from . import common, sentencepiece_stream, token_counts
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    common.small_batches(spark)
+    return sentencepiece_stream.encoded_rows(common.read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +22,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_rows(docs, common.shared_path(spark, "token-cache"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op8_token_counts": op8_token_counts}
+QUERIES = {"op5_sentencepiece": op5_sentencepiece, "op8_token_counts": op8_token_counts}
 ORACLE_SQL: dict[str, str] = {}
