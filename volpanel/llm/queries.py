@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_decontaminate, queries_learned, queries_scan, queries_tokens
+from . import queries_decontaminate, queries_jaccard, queries_learned, queries_scan, queries_tokens
 
-MODULES = (queries_scan, queries_learned, queries_tokens, queries_decontaminate)
+MODULES = (queries_scan, queries_learned, queries_tokens, queries_decontaminate, queries_jaccard)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
