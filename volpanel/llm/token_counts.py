@@ -87,22 +87,36 @@ def cached(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
     return found.where(F.col("tokenizer_digest") == tokenizer).select("content_digest", "n_tokens")
 
 
-def count_tokens(docs: DataFrame, cache: str, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens. Encodes the distinct contents that the cache lacks and appends them to it.
+def content_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
+def fill_cache(docs: DataFrame, cache: str, path: str, pattern: str, text: str = "text") -> None:
+    """Encodes the distinct contents that the cache lacks and appends their counts.
 
     Two runs may append the same content at the same time; counts are a function of the key, so either row serves.
     """
-    spark, tokenizer = docs.sparkSession, tokenizer_digest(path)
-    digest = F.unhex(F.sha2(normalised(F.col(text)), 256))
-    contents = docs.select(digest.alias("content_digest"), normalised(F.col(text)).alias("text")).groupBy("content_digest").agg(F.first("text").alias("text"))
-    misses = contents.join(cached(spark, cache, tokenizer), "content_digest", "left_anti")
+    tokenizer = tokenizer_digest(path)
+    contents = docs.select(content_digest(F.col(text)).alias("content_digest"), normalised(F.col(text)).alias("text")).groupBy("content_digest").agg(F.first("text").alias("text"))
+    misses = contents.join(cached(docs.sparkSession, cache, tokenizer), "content_digest", "left_anti")
     encode_misses(misses, path, pattern).select("content_digest", F.lit(tokenizer).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
-    counts = cached(spark, cache, tokenizer).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    keyed = docs.withColumn("__digest", digest)
-    return keyed.join(counts, keyed["__digest"] == counts["content_digest"], "left").drop("__digest", "content_digest")
+
+
+def with_counts(keyed: DataFrame, cache: str, path: str) -> DataFrame:
+    """keyed, which has content_digest, with n_tokens of the cache in its place; null where the cache has no such content."""
+    counts = cached(keyed.sparkSession, cache, tokenizer_digest(path)).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return keyed.join(counts, "content_digest", "left").drop("content_digest")
+
+
+def count_tokens(docs: DataFrame, cache: str, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs with n_tokens; its cache is filled first. The join moves all columns of docs: select those needed before."""
+    fill_cache(docs, cache, path, pattern, text)
+    return with_counts(docs.withColumn("content_digest", content_digest(F.col(text))), cache, path)
 
 
 def count_rows(docs: DataFrame, cache: str, path: str, pattern: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, as the contract of op8 names them."""
-    counted = count_tokens(docs.select("doc_id", "text"), cache, path, pattern)
-    return counted.select("doc_id", F.octet_length(normalised(F.col("text"))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    fill_cache(docs, cache, path, pattern)
+    text = F.col("text")
+    keyed = docs.select("doc_id", F.octet_length(normalised(text)).cast("long").alias("n_bytes"), content_digest(text).alias("content_digest"))
+    return with_counts(keyed, cache, path).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
