@@ -105,6 +105,7 @@ def fill_cache(docs: DataFrame, cache: str, path: str, pattern: str, text: str =
 def with_counts(keyed: DataFrame, cache: str, path: str) -> DataFrame:
     """keyed, which has content_digest, with n_tokens of the cache in its place; null where the cache has no such content."""
     counts = cached(keyed.sparkSession, cache, tokenizer_digest(path)).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = common.stored(counts, "counts")  # read straight into the join, whose other side can then be split at a hot content
     return keyed.join(counts, "content_digest", "left").drop("content_digest")
 
 
