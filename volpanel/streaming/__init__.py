@@ -1,0 +1 @@
+"""No operator of this library is a stream: runs are bounded by their period, so every job is a batch."""
