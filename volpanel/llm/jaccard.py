@@ -138,7 +138,7 @@ class Trie:
 
 
 def trie_links(left: list[int], right: list[int], ids: np.ndarray, sizes: list[int], tokens: list[np.ndarray], groups: list[int]) -> list[tuple[int, int]]:
-    """Links (a, b) between the numbered sets of left and right that connect what groups and earlier links do not."""
+    """What links between the numbered sets of left and right connect beyond groups and earlier links, as stars (set, smallest set)."""
     parent: dict[int, int] = {}
 
     def top(g: int) -> int:
@@ -148,17 +148,27 @@ def trie_links(left: list[int], right: list[int], ids: np.ndarray, sizes: list[i
 
     apart = len({groups[i] for i in (*left, *right)})
     trie = Trie([tokens[i] for i in right], [sizes[i] for i in right])
-    found = []
+    linked: dict[int, int] = {}
+
+    def first(i: int) -> int:
+        while linked.get(i, i) != i:
+            i = linked[i]
+        return i
+
     for i in left:
         if apart < 2:
             break
         for j in trie.links(tokens[i], sizes[i]):
-            a, b = top(groups[i]), top(groups[right[j]])
+            j = right[j]
+            a, b = top(groups[i]), top(groups[j])
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 apart -= 1
-                found.append((int(ids[i]), int(ids[right[j]])))
-    return found
+                x, y = sorted((first(i), first(j)), key=lambda k: ids[k])
+                linked[y] = linked[x] = x
+                linked.setdefault(i, x)
+                linked.setdefault(j, x)
+    return [(int(ids[i]), int(ids[first(i)])) for i in linked]
 
 
 def _chunk_links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -193,6 +203,8 @@ def family_links(ordered: DataFrame, blocks: DataFrame, parts: DataFrame) -> Dat
     placed = blocks.join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
     mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("set_id").alias("centre")).where("lo <> hi").select("token", "centre")
     mixed = stored(mixed, "mixed")
+    if mixed.isEmpty():
+        return mixed.select(F.col("token").alias("a"), F.col("centre").alias("b"))
     tied = stored(blocks.join(mixed, "token").select(F.col("set_id").alias("a"), F.col("centre").alias("b")).distinct(), "tied")
     family = stored(graph.components(tied).withColumnRenamed("component", "family"), "families")
     chunks = stored(family.groupBy("family").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "chunks")
