@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_ticks
+from . import queries_panel, queries_ticks
 
-MODULES = (queries_ticks,)
+MODULES = (queries_ticks, queries_panel)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
