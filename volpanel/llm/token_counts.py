@@ -28,7 +28,7 @@ from . import common
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Distinct pieces that a task remembers before it starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES, ENCODED_AT_ONCE = 250_000, 1000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -58,7 +58,9 @@ def byte_bpe_counter(path: str, pattern: str) -> Callable[[list[str]], list[int]
             marks = len(special.findall(text)) if special and any(s in text for s in specials) else 0
             rows.append((marks, [p for part in special.split(text) for p in find(part)] if marks else find(text)))
         new = list({p for _, pieces in rows for p in pieces if p not in known})
-        known.update(zip(new, (len(x.ids) for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        for at in range(0, len(new), ENCODED_AT_ONCE):  # the library's results are large next to the counts
+            part = new[at : at + ENCODED_AT_ONCE]
+            known.update(zip(part, (len(x.ids) for x in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
         return [marks + sum(map(known.__getitem__, pieces)) for marks, pieces in rows]
 
     return count
