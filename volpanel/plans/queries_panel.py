@@ -28,12 +28,12 @@ def tickers(spark: SparkSession, sf: str, p: DataFrame) -> DataFrame:
 
 
 def losses(spark: SparkSession, sf: str) -> DataFrame:
-    """The three models' forecasts over all windows as a loss panel."""
-    p = panel(spark, sf)
+    """The three models' forecasts over all windows as a loss panel, kept: checks and tables read it several times."""
+    p = panel(spark, sf).persist()
     t = tickers(spark, sf, p)
     stocks = [r.ticker for r in fx.panel_dimension(spark, sf).select("ticker").collect()]  # the 25 nations
     outputs = dict(zip(MODELS, (rolling.har_forecasts(p, WINDOWS, tickers=stocks), rolling.harx_forecasts(p, t, WINDOWS), rolling.component_forecasts(p, t, WINDOWS)), strict=True))
-    return compare.loss_panel(outputs, fx.panel_dimension(spark, sf), 30)
+    return compare.loss_panel(outputs, fx.panel_dimension(spark, sf), 30).persist()
 
 
 def bad_benchmark_dates(spark: SparkSession, sf: str) -> DataFrame:
