@@ -73,29 +73,37 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes
     return per.select("doc_id", "text_hash", total.cast("long").alias("n_hit"), "item_ids", "spans")
 
 
+#: Names of the results beside a document's own columns, under which no table's columns are expected.
+RESULTS = {"__n_words": "n_words", "__n_hit": "n_hit", "__items": "item_ids", "__spans": "hit_spans", "__contaminated": "contaminated"}
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, n: int, one_in: int) -> DataFrame:
+    """docs with the columns RESULTS."""
+    found = hits(docs, benchmark, n).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__found"), F.col("n_hit").alias("__n_hit"), F.col("item_ids").alias("__items"), F.col("spans").alias("__spans"))
+    out = docs.withColumn("__n_words", F.size(words(F.col("text"))).cast("long")).withColumn("__hash", F.xxhash64("text"))
+    out = out.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__found")), "left").drop("__id", "__hash", "__found")
+    out = out.withColumn("__n_hit", F.coalesce("__n_hit", F.lit(0).cast("long")))
+    return out.withColumn("__contaminated", (F.col("__n_hit") > 0) & (one_in * F.col("__n_hit") >= F.col("__n_words")))
+
+
 def marked(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, one_in: int = 20) -> DataFrame:
-    """docs with n_words, n_hit, item_ids, hit_spans and contaminated (hits in at least one of `one_in` words)."""
-    found = hits(docs, benchmark, n).select(F.col("doc_id").alias("__id"), "text_hash", "n_hit", "item_ids", F.col("spans").alias("hit_spans"))
-    out = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).withColumn("__hash", F.xxhash64("text"))
-    out = out.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("text_hash")), "left").drop("__id", "__hash", "text_hash")
-    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
+    """docs with n_words, n_hit, item_ids, hit_spans and contaminated (hits in at least one of `one_in` words); columns of these names are replaced."""
+    return _judged(docs.drop(*RESULTS.values()), benchmark, n, one_in).withColumnsRenamed(RESULTS)
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, one_in: int = 20) -> DataFrame:
     """docs without the contaminated ones."""
-    return marked(docs, benchmark, n, one_in).where(~F.col("contaminated")).select(docs.columns)
+    return _judged(docs, benchmark, n, one_in).where(~F.col("__contaminated")).drop(*RESULTS)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """docs with the hit words cut from text; what parts the words stays, and texts without hits stay as they are."""
     raw = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    found = marked(docs, benchmark, n)
-    hit = lambda i: F.exists("hit_spans", lambda s: (s["first"] <= i) & (i <= s["last"]))
+    hit = lambda i: F.exists("__spans", lambda s: (s["first"] <= i) & (i <= s["last"]))
     kept = F.transform(F.regexp_extract_all("text", F.lit(raw), F.lit(0)), lambda w, i: F.when(hit(i), F.lit("")).otherwise(w))
     between = F.split("text", raw)
     whole = F.array_join(F.zip_with(between, F.concat(kept, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    return found.withColumn("text", F.when(F.col("n_hit") > 0, whole).otherwise(F.col("text"))).select(docs.columns)
+    return _judged(docs, benchmark, n, 20).withColumn("text", F.when(F.col("__n_hit") > 0, whole).otherwise(F.col("text"))).drop(*RESULTS)
 
 
 def marked_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
