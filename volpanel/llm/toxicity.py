@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import groupby
@@ -231,6 +231,20 @@ def text_features(restored: str, ngrams: tuple[int, ...], known: dict[str, set[s
     return found
 
 
+def marked_words(words: Iterable[str]) -> str:
+    """Distinct words between their marks: every feature of theirs is a piece of this text."""
+    return f"<{'><'.join(sorted(set(words)))}>"
+
+
+def finder_of(names: Sequence[str]) -> ahocorasick.Automaton:
+    """Finds the numbers of the named features in marked words."""
+    finder = ahocorasick.Automaton()
+    for i, name in enumerate(names):
+        finder.add_word(name, i)
+    finder.make_automaton()
+    return finder
+
+
 def evidence(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """Log-likelihood ratio (G squared) of presence in a of n1 toxic and b of n0 other documents."""
     total, n = a + b, n1 + n0
@@ -249,22 +263,24 @@ def train(restored: list[str], labels: list[int], chars: CharModel, s: Settings
     if not n1 or not n0:
         return Model(chars, {}, bias, s)
     known: dict[str, set[str]] = {}
-    rows = [text_features(x, s.ngrams, known) for x in restored]
-    seen = Counter(f for row, v in zip(rows, y, strict=True) if v for f in row)
+    seen = Counter(f for x, v in zip(restored, y, strict=True) if v for f in text_features(x, s.ngrams, known))
     names = sorted(f for f, n in seen.items() if n >= s.least_docs)
-    place = {f: i for i, f in enumerate(names)}
+    del known, seen
+    if not names:
+        return Model(chars, {}, bias, s)
+    finder = finder_of(names)
+    rows = [np.array(sorted({i for _, i in finder.iter(marked_words(WORDS.findall(x)))}), np.int64) for x in restored]
     a, b = np.zeros(len(names)), np.zeros(len(names))
-    for row, v in zip(rows, y, strict=True):
-        ids = [place[f] for f in row if f in place]
+    for ids, v in zip(rows, y, strict=True):
         (a if v else b)[ids] += 1
-    keep = np.flatnonzero((evidence(a, b, n1, n0) >= s.least_evidence) & (a / n1 > 4 * b / n0))
-    names = [names[i] for i in keep]
-    place = {f: i for i, f in enumerate(names)}
+    keep = (evidence(a, b, n1, n0) >= s.least_evidence) & (a / n1 > 4 * b / n0)
+    number = np.cumsum(keep) - 1
+    rows = [number[ids[keep[ids]]] for ids in rows]
+    names = [n for n, k in zip(names, keep, strict=True) if k]
     owner, feature = [], []
-    for i, row in enumerate(rows):
-        ids = [place[f] for f in row if f in place]
+    for i, ids in enumerate(rows):
         owner += [i] * len(ids)
-        feature += ids
+        feature += ids.tolist()
     owner, feature = np.array(owner, np.int64), np.array(feature, np.int64)
     # a document's features share its evidence, so that a word and its n-grams together count about once
     w, met, met_b = np.zeros(len(names)), np.full(len(names), 1e-8), 1e-8
@@ -298,16 +314,14 @@ def score(text: Column, model: Model) -> Column:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         restorer, weights = Restorer(model.chars), model.weights
         known: dict[str, frozenset[str]] = {}
-        finder = ahocorasick.Automaton()  # every feature is a piece of a word between its marks
-        for feature in weights:
-            finder.add_word(feature, feature)
-        finder.make_automaton()
+        names = list(weights)
+        finder = finder_of(names) if names else None
 
         def found(token: str) -> frozenset[str]:
             if len(known) >= CACHE_TOKENS:
                 known.clear()
             words = WORDS.findall(restorer.token(token))
-            kept = known[token] = frozenset(f for _, f in finder.iter(f"<{'><'.join(words)}>")) if words and weights else frozenset()
+            kept = known[token] = frozenset(names[i] for _, i in finder.iter(marked_words(words))) if words and finder else frozenset()
             return kept
 
         def logit(x: str | None) -> float:
