@@ -16,7 +16,9 @@ doc_id passes through.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
@@ -28,7 +30,7 @@ from . import common
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Distinct pieces that a task remembers before it starts anew.
-CACHE_PIECES, ENCODED_AT_ONCE = 250_000, 1000
+CACHE_PIECES, ENCODED_AT_ONCE = 200_000, 500
 
 
 def tokenizer_digest(path: str) -> str:
@@ -40,8 +42,13 @@ def normalised(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+@lru_cache(2)
 def byte_bpe_counter(path: str, pattern: str) -> Callable[[list[str]], list[int]]:
-    """Counts the tokens of texts for a byte-level vocabulary of the tokenizers library; pattern is its pre-tokenizer's."""
+    """Counts the tokens of texts for a byte-level vocabulary of the tokenizers library; pattern is its pre-tokenizer's.
+
+    One per process: the tasks that a worker runs one after another share it and what it has met.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads would only hold memory
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
