@@ -110,6 +110,26 @@ def test_recall_on_the_given_table(spark):
     assert 0.9 * link.sum() <= found <= link.sum()
 
 
+def test_near_vectors_of_low_dimension_lose_no_link(spark, monkeypatch):
+    """Links that cross the borders of lists are found, and counted at both ends, at any number of lists."""
+    monkeypatch.setattr(near_vectors, "CHUNK", 64)
+    rng, parts = np.random.default_rng(4), []
+    for dim, n in ((4, 900), (8, 900)):
+        x = rng.normal(size=(n, dim)) @ rng.normal(size=(dim, 64))
+        parts.append(x / np.linalg.norm(x, axis=1, keepdims=True))
+        parts.append(parts[-1][: n // 4] + rng.normal(size=(n // 4, 64)) * 0.015)
+    x = np.concatenate(parts).astype(np.float32).astype(float)
+    lab = rng.integers(0, 2, len(x))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.98) & (lab[:, None] == lab[None]) & ~np.eye(len(x), dtype=bool)
+    assert link.sum() > 1000
+    want = closure(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(link), strict=True)])
+    v = spark.createDataFrame([(i, [float(c) for c in r], int(k)) for i, (r, k) in enumerate(zip(x, lab, strict=True))], "vec_id long, embedding array<float>, label int").repartition(3)
+    for rows_a_list in (8, 100):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_duplicates(v, near_vectors.Settings(rows_a_list=rows_a_list)).collect()}
+        assert got == {i: (int(link[i].sum()), want[i]) for i in range(len(x))}
+
+
 def test_snapshots_collapse(spark):
     turns = lambda c, n, end="": [(c, i, "user" if i % 2 == 0 else "assistant", f"t{i}{end if i == n - 1 else ''}") for i in range(n)]
     rows = turns(1, 2) + turns(2, 4) + turns(3, 3) + turns(4, 3, "!") + turns(5, 4) + [(6, 0, None, None), (6, 0, None, None), (None, 1, "user", "lonely")]

@@ -4,15 +4,18 @@
 2. Coarse centroids, and codewords for the subspaces of residuals, come from a bounded sample (`sample_rows`, 8192 by
    default) by k-means in numpy; every vector is then indexed: its nearest centroid's list, its residual's codes, and how far
    the coded vector lies from the true one.
-3. Every vector also queries: it probes all lists whose centroid is at most `reach` further from it than the nearest one.
-   Two vectors of cosine 0.98 lie 0.2 apart, and in directions that mostly do not point from one centroid to another, so
-   their nearest lists differ by little; tests hold the recall to brute force. No number of probes or candidates is capped.
+3. Every vector also queries. Two vectors that link lie at most r = sqrt(2 - 2 threshold) apart, and what tells the list c
+   from q's own list o, d(., c)^2 - d(., o)^2, changes by at most 2 r |c - o| over that distance and is not positive for
+   members of c. So q probes every list for which it is at most 2 r |c - o| at q, which loses no link at any number of
+   lists. No number of probes or candidates is capped. The rule holds seen from either end of a link, so a pair in two cells
+   (below) is compared in the lower one only, and counted for both of its vectors.
 4. In a list, a query's table of squared distances to all codewords gives its distance to every coded vector by look-ups.
    Less the stored error of the code, that is a lower bound of the true distance, so nothing that links is lost here; what
-   stays is ranked by the exact cosine in double precision.
+   stays is ranked by the exact cosine in double precision. Lists of fewer vectors than codewords skip the table.
 
-A label's list is cut into bounded chunks of members and of queries; each pair of chunks is one task's work, which returns
-each query's number of links and a forest of the links, never the links themselves. So does a class of equal vectors.
+Vectors travel to cells, runs of neighbouring lists of which a label has as many as its rows fill chunks. A label's cell is
+cut into bounded chunks of members and of queries; each pair of chunks is one task's work, which returns each vector's
+number of links and a forest of the links, never the links themselves.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components, null labels and null ids link
 with nothing; vectors of another length than the sample's are compared exactly with those of their own length; equal rows
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 from . import graph
 from .common import stored
 
-#: Members, and queries, of a chunk on the average.
-CHUNK = 256
+#: Members, and queries, of a chunk on the average; members of a label's cell.
+CHUNK = 2048
+#: Pairs of vectors whose cosines are computed at a time.
+PAIRS = 65536
 
 
 @dataclass(frozen=True)
@@ -44,17 +49,17 @@ class Settings:
     subspaces: int = 8
     codewords: int = 64
     rounds: int = 8
-    reach: float = 0.03
     threshold: float = 0.98
     seed: int = 5
 
 
 @dataclass
 class Index:
-    """centroids: lists x dim; words: subspaces x codewords x dim / subspaces."""
+    """centroids: lists x dim; order: the lists, neighbours together; words: subspaces x codewords x dim / subspaces."""
 
     dim: int
     centroids: np.ndarray
+    order: np.ndarray
     words: np.ndarray
     settings: Settings
 
@@ -72,6 +77,21 @@ class Index:
         coded = np.stack([self.words[j][codes[:, j]] for j in range(cut.shape[1])], 1)
         return codes, np.sqrt(((cut - coded) ** 2).sum((1, 2)))
 
+    @property
+    def radius(self) -> float:
+        """Two vectors that link lie no further apart."""
+        return float(np.sqrt(2 - 2 * self.settings.threshold)) + 1e-6
+
+    def probes(self, x: np.ndarray, own: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Whether vectors of the lists `own` may link with members of the given lists: rows x lists."""
+        to_own = ((x - self.centroids[own]) ** 2).sum(1)
+        apart = np.sqrt(_nearest(self.centroids, self.centroids[lists])[1])
+        return _nearest(x, self.centroids[lists])[1] - to_own[:, None] <= 2 * self.radius * apart[own] + 1e-6
+
+    def cells(self, cells: int) -> np.ndarray:
+        """The cell of each list when the lists, in an order that keeps neighbours together, are cut into so many."""
+        return np.argsort(self.order) * cells // len(self.order)
+
     def distances(self, residual: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances, queries x coded vectors, by table look-up."""
         cut, total = self.parts(residual), np.zeros((len(residual), len(codes)))
@@ -97,6 +117,15 @@ def _k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np
     return centres
 
 
+def _in_order(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """ids of rows, halved again and again across their longest direction."""
+    if len(ids) < 2:
+        return ids
+    y = x[ids] - x[ids].mean(0)
+    ids, half = ids[np.argsort(y @ np.linalg.svd(y, full_matrices=False)[2][0], kind="stable")], len(ids) // 2
+    return np.concatenate([_in_order(x, ids[:half]), _in_order(x, ids[half:])])
+
+
 def _unit(rows: list) -> np.ndarray:
     x = np.stack([np.asarray(r, np.float64) for r in rows])
     x /= np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
@@ -113,10 +142,11 @@ def fit(classes: DataFrame, rows: int, s: Settings = Settings()) -> Index | None
     lists = max(1, min(s.most_lists, rows // s.rows_a_list, len(x) // 8))
     centroids = _k_means(x, lists, s.rounds, rng)
     width = -(-dim // s.subspaces)
-    index = Index(dim, centroids, np.zeros((s.subspaces, 1, width)), s)
+    order = _in_order(centroids, np.arange(lists))
+    index = Index(dim, centroids, order, np.zeros((s.subspaces, 1, width)), s)
     cut = index.parts(x - centroids[_nearest(x, centroids)[0]])
     words = [_k_means(cut[:, j], min(s.codewords, len(x)), s.rounds, rng) for j in range(s.subspaces)]
-    return Index(dim, centroids, np.stack(words), s)
+    return Index(dim, centroids, order, np.stack(words), s)
 
 
 def usable() -> Column:
@@ -126,62 +156,96 @@ def usable() -> Column:
 
 
 def _indexed(classes: DataFrame, index: Index) -> DataFrame:
-    """Members and queries: (label, list, side, class, n, embedding, codes, error); side 0 is a member, 1 a probing query."""
+    """Members and queries: (label, cell, list, side, class, n, embedding, codes, error).
+
+    list is the vector's own one; side 0 is a member, 1 its query in its own cell, 2 its query in a lower cell.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             other = batch["embedding"].map(len) != index.dim
             for far, part in batch.groupby(other):
-                if far:  # of another length: one list for each length
+                if far:  # of another length: one list and cell for each length
                     lists = -part["embedding"].map(len).to_numpy(np.int64) - 1
                     for side in (0, 1):
-                        yield part.assign(list=lists, side=side, codes=b"", error=0.0)[columns]
+                        yield part.assign(cell=lists, list=lists, side=side, codes=b"", error=0.0)[columns]
                     continue
-                x = _unit(part["embedding"].tolist())
-                own, d = _nearest(x, index.centroids)
-                codes, error = index.code(x - index.centroids[own])
-                yield part.assign(list=own, side=0, codes=[c.tobytes() for c in codes], error=error)[columns]
-                d = np.sqrt(d)
-                query, probe = np.nonzero(d <= d.min(1, keepdims=True) + index.settings.reach)
-                yield part.iloc[query].assign(list=probe, side=1, codes=b"", error=0.0)[columns]
+                for cells, same in part.groupby("cells"):
+                    x, cell_of = _unit(same["embedding"].tolist()), index.cells(int(cells))
+                    own = _nearest(x, index.centroids)[0]
+                    codes, error = index.code(x - index.centroids[own])
+                    placed = same.assign(cell=cell_of[own], list=own, codes=b"", error=0.0)
+                    yield placed.assign(side=0, codes=[c.tobytes() for c in codes], error=error)[columns]
+                    yield placed.assign(side=1)[columns]
+                    met = np.zeros((len(x), int(cells)), bool)
+                    query, probe = np.nonzero(index.probes(x, own, np.arange(len(cell_of))))
+                    met[query, cell_of[probe]] = True
+                    query, cell = np.nonzero(met & (np.arange(int(cells)) < cell_of[own][:, None]))
+                    yield placed.iloc[query].assign(cell=cell, side=2)[columns]
+
+    columns = ["label", "cell", "list", "side", "class", "n", "embedding", "codes", "error"]
+    labels = stored(classes.groupBy("label").agg(F.least(F.lit(len(index.order)), F.ceil(F.count("*") / CHUNK)).cast("long").alias("cells")), "labels")
+    return (
+        classes.join(labels, "label")
+        .select("label", "class", "n", "embedding", "cells")
+        .mapInPandas(rows, "label long, cell long, list long, side int, class binary, n long, embedding array<double>, codes binary, error double")
+    )
+
 
-    columns = ["label", "list", "side", "class", "n", "embedding", "codes", "error"]
-    return classes.select("label", "class", "n", "embedding").mapInPandas(rows, "label long, list long, side int, class binary, n long, embedding array<double>, codes binary, error double")
+def _links(index: Index, q: np.ndarray, own: np.ndarray, a: np.ndarray, x: np.ndarray, members: pd.DataFrame, b: np.ndarray) -> np.ndarray:
+    """Whether queries q, of lists own and classes a, and members x of classes b link: queries x members."""
+    link = np.zeros((len(q), len(x)), bool)
+    for number, m in members.reset_index(drop=True).groupby("list").indices.items():
+        met = np.nonzero(index.probes(q, own, np.array([number]))[:, 0])[0] if number >= 0 else np.arange(len(q))
+        coded = number >= 0 and len(m) > index.words.shape[1]
+        if coded:
+            codes, error = np.frombuffer(b"".join(members["codes"].iloc[m]), np.uint8).reshape(len(m), -1), members["error"].to_numpy()[m]
+        step = max(1, PAIRS // len(m))
+        for k in range(0, len(met), step):
+            some = met[k : k + step]
+            if coded:
+                maybe = index.distances(q[some] - index.centroids[number], codes) - error <= index.radius
+            else:
+                maybe = q[some] @ x[m].T >= index.settings.threshold - 1e-9
+            i, j = np.nonzero(maybe)
+            i, j = some[i], m[j]
+            for at in range(0, len(i), PAIRS):
+                u, v = i[at : at + PAIRS], j[at : at + PAIRS]
+                link[u, v] = (a[u] != b[v]) & (np.einsum("ij,ij->i", q[u], x[v]) >= index.settings.threshold)
+    return link
+
+
+def _lowest(link: np.ndarray, top: np.ndarray, big: int) -> np.ndarray:
+    """The smallest top that each row of link leads to."""
+    return np.concatenate([np.where(link[k : k + 256], top, np.int32(big)).min(1) for k in range(0, len(link), 256)])
 
 
 def _chunk_links(index: Index) -> object:
     def found(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        members, queries = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        members, queries = rows[rows["side"] == 0], rows[rows["side"] > 0]
         empty = pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "n": pd.Series(dtype=np.int64)})
         if members.empty or queries.empty:
             return empty
-        x, q, number = _unit(members["embedding"].tolist()), _unit(queries["embedding"].tolist()), int(key[1])
-        s = index.settings
-        if number >= 0:
-            codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(x), -1)
-            near = index.distances(q - index.centroids[number], codes) - members["error"].to_numpy()[None]
-            maybe = near <= np.sqrt(2 - 2 * s.threshold) + 1e-6
-        else:
-            maybe = np.ones((len(q), len(x)), bool)
+        x, q = _unit(members["embedding"].tolist()), _unit(queries["embedding"].tolist())
         a, b = members["class"].to_numpy(), queries["class"].to_numpy()
-        i, j = np.nonzero(maybe)
-        keep = (b[i] != a[j]) & (np.einsum("ij,ij->i", q[i], x[j]) >= s.threshold)
-        if not keep.any():
+        link = _links(index, q, queries["list"].to_numpy(), b, x, members, a)
+        if not link.any():
             return empty
-        link = np.zeros(maybe.shape, bool)
-        link[i[keep], j[keep]] = True
-        n = link @ members["n"].to_numpy(np.int64)
+        # a pair within a cell is met from both ends, one of two cells from the higher one alone
+        visits = (queries["side"] == 2).to_numpy()
+        n_q, n_x = link @ members["n"].to_numpy(np.int64), queries["n"].to_numpy(np.int64)[visits] @ link[visits]
         # the smallest number that links lead to, over and over, until it stays: a forest of as few edges as there are vectors
         names, numbers = np.unique(np.concatenate([b, a]), return_inverse=True)
-        top_q, top_x, big = numbers[: len(b)].copy(), numbers[len(b) :].copy(), len(names)
+        numbers, big = numbers.astype(np.int32), len(names)
+        top_q, top_x = numbers[: len(b)], numbers[len(b) :]
         while True:
-            low_q = np.minimum(top_q, np.where(link, top_x[None], big).min(1))
-            low_x = np.minimum(top_x, np.where(link, low_q[:, None], big).min(0))
+            low_q = np.minimum(top_q, _lowest(link, top_x, big))
+            low_x = np.minimum(top_x, _lowest(link.T, low_q, big))
             if (low_q == top_q).all() and (low_x == top_x).all():
                 break
             top_q, top_x = low_q, low_x
         on_q, on_x = link.any(1), link.any(0)
-        return pd.DataFrame({"a": np.concatenate([b[on_q], a[on_x]]), "b": names[np.concatenate([top_q[on_q], top_x[on_x]])], "n": np.concatenate([n[on_q], np.zeros(on_x.sum(), np.int64)])})
+        return pd.DataFrame({"a": np.concatenate([b[on_q], a[on_x]]), "b": names[np.concatenate([top_q[on_q], top_x[on_x]])], "n": np.concatenate([n_q[on_q], n_x[on_x]])})
 
     return found
 
@@ -189,13 +253,15 @@ def _chunk_links(index: Index) -> object:
 def links(classes: DataFrame, index: Index) -> DataFrame:
     """(a, b, n): edges of a forest of the links, and numbers of links to add up by a."""
     rows = stored(_indexed(classes, index), "index")
-    sizes = rows.groupBy("label", "list").agg(F.ceil(F.sum(1 - F.col("side")) / CHUNK).alias("members"), F.ceil(F.sum("side") / CHUNK).alias("queries")).where("members > 0 AND queries > 0")
-    placed = rows.join(stored(sizes, "chunks"), ["label", "list"])
-    own, up_to = F.pmod(F.xxhash64("class"), F.when(F.col("side") == 0, F.col("members")).otherwise(F.col("queries"))), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("side") == 0, up_to("queries")).otherwise(up_to("members"))))
-    i, j = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("j")
-    dealt = placed.select("label", "list", i, j, "side", "class", "n", "embedding", "codes", "error")
-    return dealt.groupBy("label", "list", "i", "j").applyInPandas(_chunk_links(index), "a binary, b binary, n long")
+    is_member = F.col("side") == 0
+    count = lambda which: F.ceil(F.count(F.when(which, 1)) / CHUNK)
+    sizes = rows.groupBy("label", "cell").agg(count(is_member).alias("members"), count(~is_member).alias("queries")).where("members > 0 AND queries > 0")
+    placed = rows.join(stored(sizes, "chunks"), ["label", "cell"])
+    own, up_to = F.pmod(F.xxhash64("class"), F.when(is_member, F.col("members")).otherwise(F.col("queries"))), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.when(is_member, up_to("queries")).otherwise(up_to("members"))))
+    i, j = F.when(is_member, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(is_member, F.col("other")).otherwise(F.col("own")).alias("j")
+    dealt = placed.select("label", "cell", i, j, "list", "side", "class", "n", "embedding", "codes", "error")
+    return dealt.groupBy("label", "cell", "i", "j").applyInPandas(_chunk_links(index), "a binary, b binary, n long")
 
 
 def near_duplicates(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
