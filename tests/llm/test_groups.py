@@ -130,6 +130,23 @@ def test_near_vectors_of_low_dimension_lose_no_link(spark, monkeypatch):
         assert got == {i: (int(link[i].sum()), want[i]) for i in range(len(x))}
 
 
+def test_near_vectors_count_a_pair_at_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "CHUNK", 64)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(700, 6)) @ rng.normal(size=(6, 64))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.18 * np.linalg.norm(base, axis=1, keepdims=True) / 8])
+    lab = np.tile(np.arange(700), 2)  # so that nothing but the two of a pair can link
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u[:700] * u[700:]).sum(1) >= 0.98
+    assert linked.sum() > 300
+    lab = np.where(np.tile(np.arange(700), 2) < 350, lab, 1000)
+    v = spark.createDataFrame([(i, [float(c) for c in r], int(k)) for i, (r, k) in enumerate(zip(x, lab, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_vectors.near_duplicates(v, near_vectors.Settings(rows_a_list=8)).collect()}
+    assert all(got[i] == got[i + 700] == linked[i] for i in range(350))
+    link = u @ u.T >= 0.98
+    assert all(got[i] == (link[i] & (lab == 1000)).sum() - 1 for i in range(1400) if lab[i] == 1000)
+
+
 def test_snapshots_collapse(spark):
     turns = lambda c, n, end="": [(c, i, "user" if i % 2 == 0 else "assistant", f"t{i}{end if i == n - 1 else ''}") for i in range(n)]
     rows = turns(1, 2) + turns(2, 4) + turns(3, 3) + turns(4, 3, "!") + turns(5, 4) + [(6, 0, None, None), (6, 0, None, None), (None, 1, "user", "lonely")]
