@@ -147,6 +147,25 @@ def test_near_vectors_count_a_pair_at_both_ends(spark, monkeypatch):
     assert all(got[i] == (link[i] & (lab == 1000)).sum() - 1 for i in range(1400) if lab[i] == 1000)
 
 
+def test_near_vectors_recall_at_most_lists(spark):
+    """Clusters of differing density and data of 4 and 8 dimensions, with links, at the 1024 lists of large tables."""
+    rng, parts = np.random.default_rng(8), []
+    for dim in (4, 8):
+        parts.append(rng.normal(size=(2600, dim)) @ rng.normal(size=(dim, 32)))
+    for n in (1, 2, 10, 60, 300):
+        for spread in (0.05, 0.1, 0.14):
+            parts += [rng.normal(size=32) + rng.normal(size=(n, 32)) * spread for _ in range(600 // n if n > 2 else 120)]
+    x = np.concatenate([p / np.linalg.norm(p, axis=1, keepdims=True) for p in parts]).astype(np.float32).astype(float)
+    assert len(x) // 8 >= 1024
+    lab = rng.integers(0, 2, len(x))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.98) & (lab[:, None] == lab[None]) & ~np.eye(len(x), dtype=bool)
+    assert link[:5200].sum() > 1000 and link[5200:].sum() > 1000
+    v = spark.createDataFrame([(i, r.tolist(), int(k)) for i, (r, k) in enumerate(zip(x, lab, strict=True))], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in near_vectors.near_duplicates(v, near_vectors.Settings(rows_a_list=8)).select("vec_id", "n_links").collect()}
+    assert [got[i] for i in range(len(x))] == link.sum(1).tolist()
+
+
 def test_snapshots_collapse(spark):
     turns = lambda c, n, end="": [(c, i, "user" if i % 2 == 0 else "assistant", f"t{i}{end if i == n - 1 else ''}") for i in range(n)]
     rows = turns(1, 2) + turns(2, 4) + turns(3, 3) + turns(4, 3, "!") + turns(5, 4) + [(6, 0, None, None), (6, 0, None, None), (None, 1, "user", "lonely")]
