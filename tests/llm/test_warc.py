@@ -48,6 +48,12 @@ def test_pointers_into_chains(spark):
     assert sorted(map(tuple, warc.archived_rows(pages, common.shared_path(spark, "archive")).collect()), key=repr) == expected(rows)
 
 
+def test_revisits_of_one_id_with_two_payloads(spark):
+    rows = [(12, "u", "first"), (12, "u", "the second one"), (12, "u", ""), (3, "u", "first"), (4, "u", "the second one"), (5, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    assert sorted(map(tuple, warc.archived_rows(pages, common.shared_path(spark, "archive")).collect()), key=repr) == expected(rows)
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archived_rows(pages, common.shared_path(spark, "archive")).collect() == []

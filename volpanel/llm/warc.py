@@ -162,8 +162,8 @@ def archived_rows(pages: DataFrame, path: str) -> DataFrame:
     write(pages.select("page_id", "url", "html"), path)
     rows = stored(read(pages.sparkSession, path), "archived")
     new = rows.where("type = 'response'")
-    # a revisit has no payload of its own: its response's stands for it
-    first = stored(new.groupBy("page_id").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("digest").alias("digest")).where("page_id IS NOT NULL"), "responses")
-    again = rows.where("type = 'revisit'").select("page_id", "refers_to").join(first.withColumnRenamed("page_id", "refers_to"), "refers_to", "left")
+    # a revisit has no payload of its own: its response's stands for it, of one id's responses that of the stated digest
+    first = stored(new.groupBy("page_id", "digest").agg(F.first("payload_bytes").alias("payload_bytes")).where("page_id IS NOT NULL"), "responses")
+    again = rows.where("type = 'revisit'").select("page_id", "refers_to", F.col("stated").alias("digest")).join(first.withColumnRenamed("page_id", "refers_to"), ["refers_to", "digest"], "left")
     shown = lambda df, kind, refers: df.select("page_id", F.col("payload_bytes").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit(kind).alias("record_type"), refers.alias("refers_to"))
     return shown(new, "response", F.lit(None).cast("long")).union(shown(again, "revisit", F.col("refers_to")))
