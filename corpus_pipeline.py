@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of the smallest doc_id."""
+    """Of each component of near copies one row, of the smallest doc_id."""
     common.small_batches(spark)
     return jaccard.keep_first(docs)
 

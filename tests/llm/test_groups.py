@@ -68,6 +68,20 @@ def test_jaccard_join_of_odd_tables(spark):
     assert jaccard.linked_rows(docs.limit(0)).collect() == []
 
 
+def test_one_row_of_each_group_stays(spark):
+    text, near, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "aab")
+    near += " end"
+    rows = [(3, text), (3, text), (3, near), (5, text), (None, text), (None, text), (9, other), (3, other), (None, "one two"), (None, "one two"), (7, None), (7, None), (None, None), (8, "x y"), (8, "x y")]
+    docs = spark.createDataFrame([(*r, i % 2) for i, r in enumerate(rows)], "doc_id long, text string, position int").repartition(3)
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sum(t in (text, near) for _, t in got) == 1 and all(i == 3 for i, t in got if t in (text, near))
+    rest = sorted((r for r in got if r[1] not in (text, near)), key=repr)
+    assert rest == sorted([(3, other), (None, "one two"), (7, None), (7, None), (None, None), (8, "x y")], key=repr)
+    assert jaccard.keep_first(docs.limit(0)).collect() == []
+
+
 def test_near_vectors_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "CHUNK", 16)
     rng = np.random.default_rng(3)

@@ -40,7 +40,7 @@ BITS = 48
 
 
 def set_rows(docs: DataFrame, seed: int, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, digest) of all documents; set_id is null for the empty set."""
+    """(doc_id, n_shingles, set_id, digest, mark) of all documents; set_id is null for the empty set."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words()
@@ -48,9 +48,9 @@ def set_rows(docs: DataFrame, seed: int, n: int) -> DataFrame:
             sets = [shingles(x, known, n) for x in batch["text"]]
             digests = [digest(s, seed) if len(s) else None for s in sets]
             ids = [int.from_bytes(d[:8], "little", signed=True) if d else None for d in digests]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_id": pd.array(ids, "Int64"), "digest": digests})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_id": pd.array(ids, "Int64"), "digest": digests, "mark": batch["mark"]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(rows, "doc_id long, n_shingles long, set_id long, digest binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", "mark").mapInPandas(rows, "doc_id long, n_shingles long, set_id long, digest binary, mark binary")
 
 
 def postings(docs: DataFrame, seed: int, n: int) -> DataFrame:
@@ -217,9 +217,12 @@ def family_links(ordered: DataFrame, blocks: DataFrame, parts: DataFrame) -> Dat
     return rows.select("family", "i", "j", "set_id", "size", "tokens", "side", "part").groupBy("family", "i", "j").applyInPandas(_chunk_links, "a long, b long")
 
 
-def join_documents(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id), one row per row of docs; component_id is the smallest doc_id reachable by links."""
-    seed = 0
+def join_documents(docs: DataFrame, n: int = 5, mark: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, set_id, part, component_id, digest), one row per row of docs.
+
+    part is the component's key; component_id is the smallest doc_id reachable by links; digest is what `mark` gave of the row.
+    """
+    seed, docs = 0, docs.withColumn("mark", F.lit(None).cast("binary") if mark is None else mark)
     while True:  # ids are half of the digests: should two digests share one, others are drawn
         rows = stored(set_rows(docs, seed, n), "sets")
         classes = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
@@ -236,8 +239,8 @@ def join_documents(docs: DataFrame, n: int = 5) -> DataFrame:
     named = classes.select("set_id", "doc_id").join(linked, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
     named = stored(named, "named")
     firsts = stored(named.groupBy("part").agg(F.min("doc_id").alias("component_id")), "firsts")
-    names = stored(named.join(firsts, "part").select("set_id", "component_id"), "names")
-    return rows.join(names, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = stored(named.join(firsts, "part").select("set_id", "part", "component_id"), "names")
+    return rows.join(names, "set_id", "left").select("doc_id", "n_shingles", "set_id", "part", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("mark").alias("digest"))
 
 
 def linked_rows(docs: DataFrame) -> DataFrame:
@@ -246,6 +249,23 @@ def linked_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, n: int = 5) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id (of equal ids, all rows)."""
-    kept = stored(join_documents(docs.select("doc_id", "text"), n).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """docs with exactly one row of each component: that of the smallest doc_id, of one id's texts that of the smallest digest.
+
+    Null ids come last: a row without an id stays only where no row of its component has one. Of repeated rows of the kept id
+    and text one stays, chosen by the hash of all columns. Texts without shingles are in no component: their rows all stay.
+    """
+    key = lambda df: df.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__digest", F.unhex(F.md5("text")))
+    rows = join_documents(docs.select("doc_id", "text"), n, F.unhex(F.md5("text")))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))
+    keys = rows.where("set_id IS NOT NULL").groupBy("part", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = keys.groupBy("part").agg(F.min_by(F.struct("doc_id", "digest", "n"), order).alias("first")).select("first.*")
+    lone = rows.where("set_id IS NULL").select("doc_id", "digest", F.lit(1).cast("long").alias("n")).distinct()
+    kept = stored(first.union(lone).select(F.col("doc_id").alias("__kept"), F.col("digest").alias("__of"), "n"), "kept")
+    at = F.col("__id").eqNullSafe(F.col("__kept")) & F.col("__digest").eqNullSafe(F.col("__of"))
+    once = key(docs).join(kept.where("n = 1").drop("n"), at, "left_semi").select(docs.columns)
+    many = kept.where("n > 1").drop("n")
+    if many.isEmpty():
+        return once
+    row = F.struct(*docs.columns)
+    repeated = key(docs).join(many, at, "left_semi").groupBy("__id", "__digest").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row"))
+    return once.union(repeated.select("row.*"))
