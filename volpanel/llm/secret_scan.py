@@ -41,12 +41,17 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", min_chars=20),
     Rule("hex", r"[0-9a-f]{24,}"),  # a maximal run either has 24 or fails, so the floor can stand in the automaton
 )
+#: A key's header fields and base64 up to its END line; without that line, the fields and the lines' runs of base64.
+PEM_BODY = (
+    r"((-?[A-Za-z0-9+/=:,.\\\x09\x0a\x0d\x20])*-----END [A-Z ]*PRIVATE KEY-----"
+    r"|([\x0a\x0d]+[A-Za-z-]+:\x20[A-Za-z0-9,.\x20-]*)*([\x0a\x0d]+[A-Za-z0-9+/=]+)*)"
+)
 #: Kinds beyond the base: they add spans and change none.
 EXTRA_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", min_chars=40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", min_chars=20),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", min_chars=40),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + PEM_BODY),
 )
 DEFAULT_RULES = BASE_RULES + EXTRA_RULES
 
