@@ -42,7 +42,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids."""
+    """doc_id, n_tokens, ids, and the digest of the text that the ids decode to."""
     import public_tokenizers
 
     common.small_batches(spark)

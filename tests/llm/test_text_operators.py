@@ -48,6 +48,16 @@ def test_whole_private_keys_are_redacted(spark):
         assert [s[1:] for s in secret_scan.Scanner().spans(text) if s[0] == "pem"] == [m.span() for m in pem.finditer(text)]
 
 
+def test_encoded_rows_are_decoded(spark):
+    import public_tokenizers
+
+    texts = ["Plain words.", "  two  spaces ", "é中 \U0001f600\n\t", "x" * 500, "a▁b", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sentencepiece_stream.encoded_rows(docs, public_tokenizers.path("piece_bpe_32k.model")).orderBy("doc_id").collect()
+    assert [r.restored_sha256 for r in got] == [hashlib.sha256((x or "").replace("▁", " ").encode()).hexdigest() for x in texts]
+    assert all(r.n_tokens == len(r.ids) for r in got)
+
+
 def test_secret_rows_and_redaction(spark):
     docs = awkward(spark)
     for r in secret_scan.digest_rows(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():

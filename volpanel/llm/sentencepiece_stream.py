@@ -18,6 +18,7 @@ empty table gives an empty table; further columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -282,6 +283,15 @@ def encode_docs(docs: DataFrame, path: str, text: str = "text", out: str = "ids"
 
 
 def encoded_rows(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids."""
-    found = encode_docs(docs.select("doc_id", "text"), path)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens, ids, restored_sha256: the digest of the text that the ids decode to."""
+
+    @F.pandas_udf("ids array<int>, restored_sha256 string")
+    def both_ways(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = codec(path)
+        for texts in batches:
+            ids = [c.encode(x) for x in texts]
+            back = [hashlib.sha256(c.decode(x.tolist()).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "restored_sha256": pd.Series(back, dtype=object)})
+
+    found = docs.select("doc_id", both_ways("text").alias("both"))
+    return found.select("doc_id", F.size("both.ids").cast("long").alias("n_tokens"), F.col("both.ids").alias("ids"), F.col("both.restored_sha256").alias("restored_sha256"))
