@@ -42,6 +42,12 @@ def test_deobfuscation(spark):
     assert restore("Plain words, 12 and 2024 stay.") == "plain words, 12 and 2024 stay."
 
 
+def test_a_run_at_any_place_of_a_long_span_is_one_run():
+    restorer = toxicity.Restorer(toxicity.CharModel.of(pd.DataFrame({"gram": [0], "n": [1]})))
+    for n in (0, 59, 61, 63, 125, 1000):
+        assert restorer.span("." * n + "a" * 10, True) == "a"
+
+
 def test_obfuscated_words_are_caught(spark):
     docs, labels = (common.read(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)

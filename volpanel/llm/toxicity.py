@@ -57,8 +57,8 @@ SIGN = re.compile(rf"[{_SIGN_CLASS}]")
 WORDS = re.compile(r"[^\W\d_]+")
 TOKENS = re.compile(r"\s+|\S+")
 
-#: Distinct tokens that a task remembers at once; a longer span is decoded in pieces of SPAN_CHARS characters.
-CACHE_TOKENS, SPAN_CHARS = 300_000, 64
+#: Distinct tokens that a task remembers at once.
+CACHE_TOKENS = 300_000
 
 
 def _codes() -> np.ndarray:
@@ -129,9 +129,8 @@ def _option(string: str, cost: float) -> Option:
     return string, codes_of(string), cost
 
 
-def lattice(span: str, spaced: bool) -> list[list[Option]]:
+def lattice(span: str, spaced: bool) -> Iterator[list[Option]]:
     """Per observed position the strings it may stand for, with their channel scores."""
-    steps: list[list[Option]] = []
     for c, run in groupby(span.lower()):
         n = len(list(run))
         if c.isalpha():
@@ -140,11 +139,10 @@ def lattice(span: str, spaced: bool) -> list[list[Option]]:
             found = [(x * k, SIGN_COST + (k - 1) * DOUBLE_COST) for x in SIGNS[c] for k in range(1, min(n, 2) + 1)] + [("", 3 * SIGN_COST)]
         else:
             found = [("", DROP_COST * n)] if spaced else [(" ", 0.0)]
-        steps.append([_option(x, cost) for x, cost in found])
-    return steps
+        yield [_option(x, cost) for x, cost in found]
 
 
-def decode(steps: list[list[Option]], log: Sequence[float]) -> str:
+def decode(steps: Iterable[list[Option]], log: Sequence[float]) -> str:
     """The best restored string: Viterbi over the last three symbols, from a word's border to a word's border."""
     alive: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for options in steps:
@@ -174,7 +172,7 @@ class Restorer:
         self.log = memoryview(np.ascontiguousarray(model.log, np.float32).ravel())
 
     def span(self, span: str, spaced: bool) -> str:
-        return "".join(decode(lattice(span[i : i + SPAN_CHARS], spaced), self.log) for i in range(0, len(span), SPAN_CHARS))
+        return decode(lattice(span, spaced), self.log)
 
     def _word(self, word: str) -> str:
         """A run of letters and signs: decoded if it has letters, and either signs before or among them or a long run."""
