@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from volpanel.llm import chat, graph, jaccard, near_vectors
+from volpanel.llm import chat, graph, jaccard, jaccard_postings, near_vectors
 
 
 def closure(ids, links):
@@ -61,6 +61,53 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in want if want[i] == i)
 
 
+def linked(docs):
+    """component_id by doc_id, by all pairs."""
+    sets = {i: shingle_set(t) for i, t in docs}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    return closure(sets, links)
+
+
+def test_jaccard_join_of_a_boilerplate_chain(spark, monkeypatch):
+    """Short texts of two neighbouring passages each: a chain ties hundreds of them, of which few link."""
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    monkeypatch.setattr(jaccard_postings, "BUCKET_BYTES", 512)
+    monkeypatch.setattr(jaccard_postings, "FAN", 3)  # so that shingles are dealt out in two passes
+    rnd = random.Random(6)
+    passages = [" ".join(f"p{k}x{j}" for j in range(rnd.choice([9, 12, 14]))) for k in range(60)]
+    texts = []
+    for k in range(60):
+        for _ in range(6):
+            tail = "" if rnd.random() < 0.3 else " " + " ".join(f"t{rnd.randrange(10)}" for _ in range(rnd.choice([1, 2, 5])))
+            texts.append(f"{passages[k]} {passages[(k + 1) % 60]}{tail}" if rnd.random() < 0.8 else f"{passages[k]}{tail}")
+    rows = list(enumerate(texts))
+    want = linked(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in jaccard.linked_rows(docs).collect()} == want
+    assert len(set(want.values())) > 100
+
+
+def test_jaccard_join_of_a_very_long_text(spark):
+    rnd = random.Random(8)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(120_000)]
+    near = list(words)
+    for _ in range(2000):
+        near[rnd.randrange(len(near))] = "changed"
+    rows = [(4, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:60_000])), (1, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.linked_rows(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 2}
+
+
+def test_packed_shingles_return():
+    rng = np.random.default_rng(4)
+    for n, sets in ((0, 1), (500, 7), (100_000, 70_000)):
+        tokens, owners = rng.integers(0, 1 << 48, n), rng.integers(0, sets, n)
+        ids, sizes, often, counts = rng.integers(-(1 << 63), 1 << 63, sets), rng.integers(1, 99, sets), rng.integers(0, 1 << 48, 5), rng.integers(17, 99, 5)
+        got = jaccard_postings.unpack(jaccard_postings.pack(tokens, owners, ids, sizes, often, counts))
+        assert (got[0] == tokens).all() and (got[2][got[1]] == ids[owners]).all() and (got[3][got[1]] == sizes[owners]).all()
+        assert (got[4] == often).all() and (got[5] == counts).all()
+
+
 def test_jaccard_join_of_odd_tables(spark):
     text = "p q r s t u v w x y z"
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None), (None, None)], "doc_id long, text string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors, and gives the planner true sizes."""
+#: Where stored tables lie, while their DataFrames are held.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors, and gives the planner true sizes.
+
+    `by` names a column of few values by which the files are parted.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete stored tables, or one folder of theirs, that nothing reads any more: disk is needed for the steps that follow."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{_PATHS[df]}/{part}")
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -3,14 +3,16 @@
 A document's set is that of its distinct 5-word shingles; documents link when their sets' Jaccard similarity is at least
 0.75. Documents of equal sets form a class from the start (one small row each, met by partial aggregation).
 
-1. All classes' shingles are counted over the whole corpus. Shingles of one class only can be in no intersection; the rest
-   of each set is kept in one global order, the rarest first. A set of which less than 75 % is shared links with nothing.
+1. All classes' shingles are counted over the whole corpus (see jaccard_postings). Shingles of one class only can be in no
+   intersection; the rest of each set is kept in one global order, the rarest first. A set of which less than 75 % is shared
+   links with nothing.
 2. Of sets that link, the rarest quarter (and one) must share a shingle: sets that share one there form a block.
 3. Every set joins the set of smallest id with which it shares most blocks. Such a star is cut into bounded chunks, each with
    the centre, and each chunk's ordered sets are stored in a trie: common beginnings are one path, whose overlap with a set
    is counted once for all sets behind it, and a subtree is left as soon as the lengths that remain cannot give the overlap.
-4. Blocks whose sets now are in one component are done. The others hold pairs that no star has compared: their sets form
-   families (sets that such blocks tie together), and all pairs of a family's bounded chunks are joined by the same trie.
+4. Blocks whose sets now are in one component are done. The others hold pairs that no star has compared: their sets of
+   like size form families (sets that such blocks tie together), and all pairs of a family's bounded chunks are joined by the
+   same trie.
 
 A trie join returns only links between sets that earlier links do not already connect, so no group emits all its pairs; yet
 every two sets that link end up in one component.
@@ -26,51 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import stored
-from .jaccard_sets import Words, digest, shingles
+from .common import discard, stored
+from .jaccard_postings import COUNT, DOCUMENT, KEPT_BACK, SHINGLES, sets_of, shared_shingles
 
-#: Sets of a chunk, on the average; a trie join holds two chunks.
-CHUNK = 256
-#: Bits of a shingle's hash; above them stands its count, up to 32767, so that numbers sort in the global order.
-BITS = 48
-
-
-def set_rows(docs: DataFrame, seed: int, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, digest, mark) of all documents; set_id is null for the empty set."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
-        for batch in batches:
-            sets = [shingles(x, known, n) for x in batch["text"]]
-            digests = [digest(s, seed) if len(s) else None for s in sets]
-            ids = [int.from_bytes(d[:8], "little", signed=True) if d else None for d in digests]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "set_id": pd.array(ids, "Int64"), "digest": digests, "mark": batch["mark"]})
-
-    return docs.select(F.col("doc_id").cast("long"), "text", "mark").mapInPandas(rows, "doc_id long, n_shingles long, set_id long, digest binary, mark binary")
-
-
-def postings(docs: DataFrame, seed: int, n: int) -> DataFrame:
-    """(token, set_id, size) of all classes, each class once a task at most."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, met = Words(), set()
-        for batch in batches:
-            ids, sizes, tokens = [], [], []
-            for x in batch["text"]:
-                s = shingles(x, known, n)
-                if len(s) and (d := digest(s, seed)) not in met:
-                    met.add(d)
-                    ids.append(int.from_bytes(d[:8], "little", signed=True))
-                    sizes.append(len(s))
-                    tokens.append((s >> np.uint64(64 - BITS)).astype(np.int64))
-            yield pd.DataFrame({"set_id": np.array(ids, np.int64), "size": np.array(sizes, np.int32), "tokens": pd.Series(tokens, dtype=object)})
-
-    found = docs.select("text").mapInPandas(rows, "set_id long, size int, tokens array<long>")
-    return found.select(F.explode("tokens").alias("token"), "set_id", "size")
+#: Sets, and shingles, of a chunk on the average; a trie join holds two chunks.
+CHUNK, CHUNK_SHINGLES = 256, 1 << 19
+#: Width of a band of sizes, as a logarithm: a little over that of the ratio 4 / 3 of two linked sets' sizes.
+BAND = 0.3
 
 
 def least_shared(size: str) -> Column:
@@ -78,16 +46,9 @@ def least_shared(size: str) -> Column:
     return F.ceil((3 * F.col(size)) / F.lit(4.0)).cast("int")
 
 
-def ordered_sets(docs: DataFrame, seed: int, n: int) -> DataFrame:
+def ordered_sets(found: DataFrame) -> DataFrame:
     """(set_id, size, tokens): shared shingles in the global order, of the sets that may link."""
-    same = Window.partitionBy("token")
-    counted = postings(docs, seed, n).select(
-        "token", "set_id", "size", F.count("*").over(same).alias("df"), F.min("set_id").over(same).alias("lo"), F.max("set_id").over(same).alias("hi")
-    )
-    packed = F.shiftleft(F.least(F.col("df"), F.lit(32767)).cast("long"), BITS).bitwiseOR(F.col("token"))
-    per = counted.where("lo <> hi").groupBy("set_id").agg(F.max("size").alias("size"), F.collect_list(packed).alias("tokens"))
-    # a class met by several tasks comes once from each of them
-    return per.withColumn("tokens", F.sort_array(F.array_distinct("tokens"))).where(F.size("tokens") >= least_shared("size"))
+    return sets_of(found).where(F.size("tokens") >= least_shared("size"))
 
 
 class Trie:
@@ -181,34 +142,56 @@ def _chunk_links(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def blocks_of(ordered: DataFrame) -> DataFrame:
-    """(token, set_id): shared shingles among the rarest of each set, of which linked sets have one in common."""
+    """(token, set_id, size): shared shingles among the rarest of each set, of which linked sets have one in common."""
     prefix = F.col("size") - least_shared("size") + 1 - (F.col("size") - F.size("tokens"))
-    return ordered.select(F.explode(F.slice("tokens", 1, prefix)).alias("token"), "set_id")
+    return ordered.select(F.explode(F.slice("tokens", 1, prefix)).alias("token"), "set_id", "size")
+
+
+def chunks_of() -> Column:
+    """Chunks of a group of (set_id, size), bounded by sets and by shingles."""
+    return F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.col("size").cast("long")) / CHUNK_SHINGLES)).alias("chunks")
 
 
 def star_links(ordered: DataFrame, blocks: DataFrame) -> DataFrame:
     """Links (a, b) found around the centres that most blocks suggest."""
     centres = stored(blocks.groupBy("token").agg(F.min("set_id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")
-    votes = blocks.join(centres, "token").where("set_id <> centre").groupBy("set_id", "centre").agg(F.count("*").alias("n"))
-    best = stored(votes.groupBy("set_id").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre")), "best")
-    chunks = stored(best.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "chunks")
+    votes = blocks.join(centres, "token").where("set_id <> centre").groupBy("set_id", "centre").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    best = stored(votes.groupBy("set_id").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"), F.max("size").alias("size")), "best")
+    chunks = stored(best.groupBy("centre").agg(chunks_of()), "chunks")
     members = best.join(chunks, "centre").select("set_id", "centre", F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("chunk"))
     centred = chunks.select(F.col("centre").alias("set_id"), "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     rows = stored(members.union(centred), "members").join(ordered, "set_id").select("centre", "chunk", "set_id", "size", "tokens", F.lit(2).alias("side"), F.col("set_id").alias("part"))
-    return rows.groupBy("centre", "chunk").applyInPandas(_chunk_links, "a long, b long")
+    links = stored(rows.groupBy("centre", "chunk").applyInPandas(_chunk_links, "a long, b long"), "links")
+    discard(centres, best, chunks)
+    return links
+
 
+def families(blocks: DataFrame, parts: DataFrame) -> DataFrame:
+    """(set_id, size, family): sets that may link beyond their parts; a set is in two families at most.
 
-def family_links(ordered: DataFrame, blocks: DataFrame, parts: DataFrame) -> DataFrame:
-    """Links between sets of different parts (components so far) that share a block."""
+    Sizes fall into bands, so that linked sets are in one band or in neighbouring ones. Layer k holds the bands k - 1 and k; a
+    layer's sets are tied by the blocks that hold several parts of it, and families are what ties connect within one layer.
+    Thus neither sets of far sizes nor those whose blocks are settled tie others together.
+    """
     placed = blocks.join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
-    mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("set_id").alias("centre")).where("lo <> hi").select("token", "centre")
-    mixed = stored(mixed, "mixed")
-    if mixed.isEmpty():
-        return mixed.select(F.col("token").alias("a"), F.col("centre").alias("b"))
-    tied = stored(blocks.join(mixed, "token").select(F.col("set_id").alias("a"), F.col("centre").alias("b")).distinct(), "tied")
-    family = stored(graph.components(tied).withColumnRenamed("component", "family"), "families")
-    chunks = stored(family.groupBy("family").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "chunks")
-    placed = family.join(chunks, "family").select(F.col("node").alias("set_id"), "family", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("own"))
+    mixed = stored(placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token"), "mixed")
+    band = F.floor(F.ln(F.col("size").cast("double")) / F.lit(BAND)).cast("int")
+    layered = placed.join(mixed, "token").withColumn("band", band).select("token", "set_id", "size", "part", "band", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("layer"))
+    # two nodes of one number would join two families, which only adds comparisons
+    layered = stored(layered.withColumn("node", F.xxhash64("layer", "set_id")), "layered")
+    tied = layered.groupBy("token", "layer").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("band").alias("top"), F.min("node").alias("centre"))
+    tied = stored(tied.where("lo <> hi AND top = layer").select("token", "layer", "centre"), "tied")  # pairs of the lower band alone are the layer's below
+    members = layered.join(tied, ["token", "layer"])
+    found = stored(graph.components(members.select(F.col("node").alias("a"), F.col("centre").alias("b"))), "families")
+    found = stored(members.select("node", "set_id", "size").distinct().join(found, "node").select("set_id", "size", F.col("component").alias("family")), "families")
+    discard(mixed, layered, tied)
+    return found
+
+
+def family_links(ordered: DataFrame, family: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links between sets of one family and different parts (components so far)."""
+    chunks = stored(family.groupBy("family").agg(chunks_of()), "chunks")
+    placed = family.join(chunks, "family").select("set_id", "family", "chunks", F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("own"))
     # chunk x meets every chunk y: as the left one where x < y, as the right one where x > y, on both sides where x = y
     dealt = placed.select("set_id", "family", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).select(
         "set_id", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")
@@ -224,22 +207,26 @@ def join_documents(docs: DataFrame, n: int = 5, mark: Column | None = None) -> D
     """
     seed, docs = 0, docs.withColumn("mark", F.lit(None).cast("binary") if mark is None else mark)
     while True:  # ids are half of the digests: should two digests share one, others are drawn
-        rows = stored(set_rows(docs, seed, n), "sets")
+        found = stored(shared_shingles(docs, seed, n), "shingles", by="kind")
+        rows = found.where(F.col("kind") == DOCUMENT).select("doc_id", "n_shingles", "set_id", "digest", "mark")
         classes = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
         classes = stored(classes, "classes")
         if classes.where("lo <> hi").isEmpty():
             break
         seed += 1
-    ordered = stored(ordered_sets(docs, seed, n), "ordered")
+    ordered = stored(ordered_sets(found), "ordered")
+    for kind in (SHINGLES, KEPT_BACK, COUNT):
+        discard(found, part=f"kind={kind}")
     blocks = stored(blocks_of(ordered), "blocks")
-    stars = stored(star_links(ordered, blocks), "links")
+    stars = star_links(ordered, blocks)
     parts = stored(graph.components(stars).select(F.col("node").alias("set_id"), F.col("component").alias("part")), "parts")
-    rest = stored(family_links(ordered, blocks, parts), "links")
+    rest = stored(family_links(ordered, families(blocks, parts), parts), "links")
     linked = graph.components(stars.union(rest)).select(F.col("node").alias("set_id"), F.col("component").alias("part"))
     named = classes.select("set_id", "doc_id").join(linked, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
     named = stored(named, "named")
     firsts = stored(named.groupBy("part").agg(F.min("doc_id").alias("component_id")), "firsts")
     names = stored(named.join(firsts, "part").select("set_id", "part", "component_id"), "names")
+    discard(ordered, blocks, stars, parts, rest, named, firsts)
     return rows.join(names, "set_id", "left").select("doc_id", "n_shingles", "set_id", "part", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("mark").alias("digest"))
 
 
@@ -248,24 +235,27 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     return join_documents(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_first(docs: DataFrame, n: int = 5) -> DataFrame:
+def keep_first(docs: DataFrame, n: int = 5, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """docs with exactly one row of each component: that of the smallest doc_id, of one id's texts that of the smallest digest.
 
     Null ids come last: a row without an id stays only where no row of its component has one. Of repeated rows of the kept id
     and text one stays, chosen by the hash of all columns. Texts without shingles are in no component: their rows all stay.
+    Texts stay where they are while the keys of the rows that go are measured to fit into `broadcast_bytes`; beyond that they
+    are shuffled to those keys.
     """
-    key = lambda df: df.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__digest", F.unhex(F.md5("text")))
-    rows = join_documents(docs.select("doc_id", "text"), n, F.unhex(F.md5("text")))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))))
+    rows = join_documents(docs.select("doc_id", "text"), n, key)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))
-    keys = rows.where("set_id IS NOT NULL").groupBy("part", "doc_id", "digest").agg(F.count("*").alias("n"))
-    first = keys.groupBy("part").agg(F.min_by(F.struct("doc_id", "digest", "n"), order).alias("first")).select("first.*")
-    lone = rows.where("set_id IS NULL").select("doc_id", "digest", F.lit(1).cast("long").alias("n")).distinct()
-    kept = stored(first.union(lone).select(F.col("doc_id").alias("__kept"), F.col("digest").alias("__of"), "n"), "kept")
-    at = F.col("__id").eqNullSafe(F.col("__kept")) & F.col("__digest").eqNullSafe(F.col("__of"))
-    once = key(docs).join(kept.where("n = 1").drop("n"), at, "left_semi").select(docs.columns)
-    many = kept.where("n > 1").drop("n")
+    keys = stored(rows.where("set_id IS NOT NULL").groupBy("part", "doc_id", "digest").agg(F.count("*").alias("n")), "keys")
+    first = keys.groupBy("part").agg(F.min_by("digest", order).alias("first"))
+    judged = stored(keys.join(first, "part").where("n > 1 OR digest <> first").select(F.col("digest").alias("__key"), (F.col("digest") == F.col("first")).alias("again")), "judged")
+    fits = 64 * judged.count() <= broadcast_bytes
+    near = lambda df: F.broadcast(df) if fits else df
+    keyed = docs.withColumn("__key", key)
+    once = keyed.join(near(judged.select("__key")), "__key", "left_anti").select(docs.columns)
+    many = judged.where("again").select("__key")
     if many.isEmpty():
         return once
     row = F.struct(*docs.columns)
-    repeated = key(docs).join(many, at, "left_semi").groupBy("__id", "__digest").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row"))
+    repeated = keyed.join(near(many), "__key", "left_semi").groupBy("__key").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row"))
     return once.union(repeated.select("row.*"))
