@@ -100,12 +100,20 @@ def test_jaccard_join_of_a_very_long_text(spark):
 
 def test_packed_shingles_return():
     rng = np.random.default_rng(4)
-    for n, sets in ((0, 1), (500, 7), (100_000, 70_000)):
-        tokens, owners = rng.integers(0, 1 << 48, n), rng.integers(0, sets, n)
-        ids, sizes, often, counts = rng.integers(-(1 << 63), 1 << 63, sets), rng.integers(1, 99, sets), rng.integers(0, 1 << 48, 5), rng.integers(17, 99, 5)
-        got = jaccard_postings.unpack(jaccard_postings.pack(tokens, owners, ids, sizes, often, counts))
-        assert (got[0] == tokens).all() and (got[2][got[1]] == ids[owners]).all() and (got[3][got[1]] == sizes[owners]).all()
-        assert (got[4] == often).all() and (got[5] == counts).all()
+    for n, homes in ((0, 1), (500, 7), (100_000, 900)):
+        tokens, home, own = rng.integers(0, 1 << 48, n), rng.integers(0, homes, n), rng.integers(0, 60_000, n)
+        names, often, often_home, counts = rng.integers(0, 1 << 60, homes), rng.integers(0, 1 << 48, 5), rng.integers(0, homes, 5), rng.integers(17, 99, 5)
+        sent, got = jaccard_postings.Postings(), jaccard_postings.Postings()
+        sent.add(tokens, home, own, names, often, often_home, counts)
+        dests = []
+        for batch in jaccard_postings._sent(sent.taken(), 11):
+            dests += batch.column("dest").to_pylist()
+            for data in batch.column("packed"):
+                got.add_packed(data.as_py())
+        t, h, o, m, f, fh, c = got.taken()
+        assert len(set(dests)) == len(dests) <= 11
+        assert sorted(zip(t, m[h] if n else [], o, strict=True)) == sorted(zip(tokens, names[home], own, strict=True))
+        assert sorted(zip(f, m[fh], c, strict=True)) == sorted(zip(often, names[often_home], counts, strict=True))
 
 
 def test_jaccard_join_of_odd_tables(spark):

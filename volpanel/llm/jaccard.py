@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .common import discard, stored
-from .jaccard_postings import COUNT, DOCUMENT, KEPT_BACK, SHINGLES, sets_of, shared_shingles
+from .jaccard_postings import DOCUMENT, SET, sets_of, shared_shingles
 
 #: Sets, and shingles, of a chunk on the average; a trie join holds two chunks.
 CHUNK, CHUNK_SHINGLES = 256, 1 << 19
@@ -215,8 +215,7 @@ def join_documents(docs: DataFrame, n: int = 5, mark: Column | None = None) -> D
             break
         seed += 1
     ordered = stored(ordered_sets(found), "ordered")
-    for kind in (SHINGLES, KEPT_BACK, COUNT):
-        discard(found, part=f"kind={kind}")
+    discard(found, part=f"kind={SET}")
     blocks = stored(blocks_of(ordered), "blocks")
     stars = star_links(ordered, blocks)
     parts = stored(graph.components(stars).select(F.col("node").alias("set_id"), F.col("component").alias("part")), "parts")

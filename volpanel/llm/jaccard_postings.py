@@ -1,16 +1,14 @@
-"""Which shingles several sets share, from texts that are hashed once and shingles that travel packed.
+"""Which shingles sets share, from texts that are hashed once and shingles that travel packed.
 
-1. A task hashes its texts and holds the shingles of sets that it has not met, HELD at a time. It sorts them and gives every
-   bucket (a range of shingle numbers) one packed row, some 7 bytes a shingle. A shingle that more than FREQUENT of the held
-   sets have goes to its bucket as one count; the sets that have it keep it in rows of their own, dealt out evenly.
-2. A bucket counts its shingles. Those of one set only are in no intersection and are dropped; the rest return to their sets
-   as one row per bucket and set, each with its count. A shingle that a third of all sets have thus loads its bucket with a
-   few entries of each task and no more.
-3. The rows that were kept back get their counts by a join of which one side holds every frequent shingle once, so that
-   adaptive execution can split the other.
+1. A task hashes its texts and holds the shingles of sets that it has not met, HELD at a time. It sorts what it holds and sends
+   every bucket (a range of shingle numbers) one packed row, some 6 bytes a shingle. A shingle that more than FREQUENT of the
+   held sets have goes to its bucket as one count.
+2. A bucket counts its shingles and answers each holder with one packed row: those shingles of its sets that occur more than
+   once, and their counts. A shingle that a third of all sets have loads its bucket with a few entries of each holder.
+3. A holder's answers meet what it kept back: each of its sets gets its shared shingles in the global order.
 
 Buckets follow the bytes of the texts. One pass deals to FAN buckets at most; beyond them a second pass cuts the first one's
-ranges further, so that packed rows stay long at any size.
+ranges further, so that packed rows stay long at any size. No group is larger than a bucket or what one holder held.
 """
 
 from __future__ import annotations
@@ -26,20 +24,23 @@ from pyspark.sql import functions as F
 
 from .jaccard_sets import Words, digest, shingles
 
-#: Bits of a shingle's number; above them stands its count, up to 32767, so that numbers sort in the global order.
-BITS = 48
-#: Shingles, and sets, that a task holds at once.
-HELD, HELD_SETS = 1 << 21, 60_000
+#: Bits of a shingle's number; above them stands its count, up to MOST, so that numbers sort in the global order.
+BITS, MOST = 48, 32767
+#: Shingles that a task holds at once; sets, and documents.
+HELD, HELD_ROWS = 1 << 21, 60_000
 #: Held sets that may send a shingle one by one.
 FREQUENT = 16
 #: Bytes of text for each bucket; buckets of one pass.
 BUCKET_BYTES, FAN = 8 << 20, 4096
-#: Kinds of rows: a document, the shingles of sets, shingles kept back by a set, the count of a frequent shingle.
-DOCUMENT, SHINGLES, KEPT_BACK, COUNT = range(4)
+#: Kinds of rows: a document, shingles on their way to a bucket or back, what a holder kept, a set with its shared shingles.
+DOCUMENT, SHINGLES, KEPT, SET = range(4)
 
-DEALT = {"dest": pa.int64(), "kind": pa.int32(), "doc_id": pa.int64(), "n_shingles": pa.int64(), "set_id": pa.int64(), "digest": pa.binary(), "mark": pa.binary(), "packed": pa.binary(), "tokens": pa.list_(pa.int64())}
-SHARED = [name for name in DEALT if name not in ("dest", "packed")]
-_SQL = {"dest": "long", "kind": "int", "doc_id": "long", "n_shingles": "long", "set_id": "long", "digest": "binary", "mark": "binary", "packed": "binary", "tokens": "array<long>"}
+_ARROW = {"dest": pa.int64(), "home": pa.int64(), "kind": pa.int32(), "doc_id": pa.int64(), "n_shingles": pa.int64(), "set_id": pa.int64(), "digest": pa.binary(), "mark": pa.binary(), "packed": pa.binary(), "tokens": pa.list_(pa.int64())}
+_SQL = {"dest": "long", "home": "long", "kind": "int", "doc_id": "long", "n_shingles": "long", "set_id": "long", "digest": "binary", "mark": "binary", "packed": "binary", "tokens": "array<long>"}
+#: Columns on the way to buckets, back to the holders, and of the result. home is the holder's number.
+TO_BUCKETS = ["dest", "home", "kind", "doc_id", "n_shingles", "set_id", "digest", "mark", "packed"]
+TO_HOLDERS = TO_BUCKETS[1:]
+RESULT = ["kind", "doc_id", "n_shingles", "set_id", "digest", "mark", "tokens"]
 
 
 def schema(names: list[str]) -> str:
@@ -49,13 +50,20 @@ def schema(names: list[str]) -> str:
 def _rows(names: list[str], kind: int, n: int, **columns: object) -> pa.RecordBatch:
     """A batch of one kind; columns not given are null."""
     given = columns | {"kind": np.full(n, kind, np.int32)}
-    arrays = [given[c].cast(DEALT[c]) if isinstance(given.get(c), pa.Array) else pa.array(given[c], DEALT[c]) if c in given else pa.nulls(n, DEALT[c]) for c in names]
-    return pa.record_batch(arrays, pa.schema([(c, DEALT[c]) for c in names]))
+    arrays = [given[c] if isinstance(given.get(c), pa.Array) else pa.array(given[c], _ARROW[c]) if c in given else pa.nulls(n, _ARROW[c]) for c in names]
+    return pa.record_batch([a.cast(_ARROW[c]) for a, c in zip(arrays, names, strict=True)], pa.schema([(c, _ARROW[c]) for c in names]))
 
 
-def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """values cut at the starts."""
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, pa.int64()))
+def _packed(*arrays: np.ndarray) -> bytes:
+    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    at, found = 8 * len(kinds), []
+    for kind, n in zip(kinds, np.frombuffer(data, np.int64, len(kinds)), strict=True):
+        found.append(np.frombuffer(data, kind, n, at))
+        at += found[-1].nbytes
+    return found
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -63,74 +71,51 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
 
 
-def pack(tokens: np.ndarray, owners: np.ndarray, ids: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> bytes:
-    """Shingles with the numbers of their sets, those sets' ids and sizes, and counts of frequent shingles."""
-    met = np.zeros(len(ids), bool)
-    met[owners] = True
-    own = (np.cumsum(met) - 1)[owners].astype(np.uint16 if met.sum() <= 1 << 16 else np.uint32)
-    head = np.array([len(tokens), met.sum(), len(frequent)], np.int64)
-    parts = (head, (tokens >> 32).astype(np.uint16), tokens.astype(np.uint32), own, ids[met], sizes[met].astype(np.int32), frequent, counts)
-    return b"".join(x.tobytes() for x in parts)
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    n, m, f = np.frombuffer(data, np.int64, 3)
-    at, parts = 24, []
-    for kind, k in ((np.uint16, n), (np.uint32, n), (np.uint16 if m <= 1 << 16 else np.uint32, n), (np.int64, m), (np.int32, m), (np.int64, f), (np.int64, f)):
-        parts.append(np.frombuffer(data, kind, k, at))
-        at += parts[-1].nbytes
-    high, low, owners, ids, sizes, frequent, counts = parts
-    return high.astype(np.int64) << 32 | low, owners.astype(np.int64), ids, sizes, frequent, counts
-
+class Postings:
+    """Shingles with the holders and the numbers of the sets that have them; frequent shingles with holders and counts."""
 
-class Held:
-    """Postings that a task holds."""
+    KINDS = (np.uint16, np.uint32, np.uint16, np.uint16, np.int64, np.int64, np.uint16, np.int64)
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.n = self.sets = 0
+        self.n = self.homes = 0
 
-    def add(self, tokens: np.ndarray, owners: np.ndarray, ids: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((tokens, owners + self.sets, ids, sizes, frequent, counts))
-        self.n += len(tokens) + len(frequent)
-        self.sets += len(ids)
+    def add(self, tokens: np.ndarray, home: np.ndarray, own: np.ndarray, homes: np.ndarray, often: np.ndarray, often_home: np.ndarray, counts: np.ndarray) -> None:
+        """home and often_home are places in homes, the holders' numbers."""
+        self.parts.append((tokens, home + self.homes, own, homes, often, often_home + self.homes, counts))
+        self.n += len(tokens) + len(often)
+        self.homes += len(homes)
+
+    def add_packed(self, data: bytes) -> None:
+        high, low, home, own, homes, often, often_home, counts = _unpacked(data, *self.KINDS)
+        self.add(high.astype(np.int64) << 32 | low, home.astype(np.int64), own, homes, often, often_home.astype(np.int64), counts)
 
     @property
     def full(self) -> bool:
-        return self.n >= HELD or self.sets >= HELD_SETS
+        return self.n >= HELD or self.homes >= HELD_ROWS
 
     def taken(self) -> tuple[np.ndarray, ...]:
-        """tokens and their owners by token; ids and sizes by owner; frequent shingles, each once, and their counts. Holds nothing afterwards."""
-        tokens, owners, ids, sizes, frequent, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64),) * 6
+        """As add() takes them, by shingle. Holds nothing afterwards."""
+        if not self.parts:
+            return (np.zeros(0, np.int64),) * 7
+        tokens, home, own, homes, often, often_home, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.__init__()
-        order = np.argsort(tokens)
-        frequent, at = np.unique(frequent, return_inverse=True)
-        return tokens[order], owners[order], ids, sizes, frequent, np.bincount(at, counts, len(frequent)).astype(np.int64)
-
-
-def _sent(held: Held, buckets: int, keep_back: bool, turn: Callable[[int], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The held postings, one packed row per bucket."""
-    tokens, owners, ids, sizes, frequent, counts = held.taken()
-    names = list(DEALT)
-    if keep_back:
-        starts = _starts(tokens)
-        runs = np.diff(np.append(starts, len(tokens)))
-        often = runs > FREQUENT
-        frequent, counts = tokens[starts[often]], runs[often]
-        kept = np.repeat(often, runs)
-        order = np.argsort(owners[kept], kind="stable")
-        own, back = owners[kept][order], tokens[kept][order]
-        at = _starts(own)
-        if len(at):
-            yield _rows(names, KEPT_BACK, len(at), dest=turn(len(at)), set_id=ids[own[at]], n_shingles=sizes[own[at]].astype(np.int64), tokens=_lists(back, at))
-        tokens, owners = tokens[~kept], owners[~kept]
-    of = lambda x: (x >> 24) * buckets >> 24
-    to, to_often = of(tokens), of(frequent)
+        order, order_often = np.argsort(tokens), np.argsort(often)
+        return tokens[order], home[order], own[order], homes, often[order_often], often_home[order_often], counts[order_often]
+
+
+def _sent(postings: tuple[np.ndarray, ...], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sorted postings, one packed row per bucket."""
+    tokens, home, own, homes, often, often_home, counts = postings
+    to, to_often = ((x >> 24) * buckets >> 24 for x in (tokens, often))
     dests = np.union1d(to, to_often)
-    a, b = np.searchsorted(to, np.append(dests, buckets)), np.searchsorted(to_often, np.append(dests, buckets))
-    packed = [pack(tokens[i:j], owners[i:j], ids, sizes, frequent[k:m], counts[k:m]) for i, j, k, m in zip(a, a[1:], b, b[1:], strict=False)]
-    if packed:
-        yield _rows(names, SHINGLES, len(packed), dest=dests, packed=packed)
+    rows = []
+    for i, j, k, m in zip(*(np.searchsorted(x, dests, side) for x in (to, to_often) for side in ("left", "right")), strict=True):
+        names, place = np.unique(np.append(home[i:j], often_home[k:m]), return_inverse=True) if len(homes) > 1 else (np.zeros(1, np.int64), np.zeros(j - i + m - k, np.int64))
+        place = place.astype(np.uint16)
+        rows.append(_packed((tokens[i:j] >> 32).astype(np.uint16), tokens[i:j].astype(np.uint32), place[: j - i], own[i:j].astype(np.uint16), homes[names], often[k:m], place[j - i :], counts[k:m]))
+    if rows:
+        yield _rows(TO_BUCKETS, SHINGLES, len(rows), dest=dests, packed=rows)
 
 
 def _turns(buckets: int) -> Callable[[int], np.ndarray]:
@@ -145,12 +130,47 @@ def _turns(buckets: int) -> Callable[[int], np.ndarray]:
     return turn
 
 
+class Holder:
+    """What a task holds of its sets until it is sent."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.turn = buckets, _turns(buckets)
+        self.home = (TaskContext.get().partitionId() << 32) - 1
+        self._next()
+
+    def _next(self) -> None:
+        self.home += 1
+        self.tokens, self.ids, self.sizes, self.n, self.docs = [], [], [], 0, 0
+
+    def add(self, set_id: int, hashes: np.ndarray) -> None:
+        self.tokens.append(np.unique((hashes >> np.uint64(64 - BITS)).astype(np.int64)))
+        self.ids.append(set_id)
+        self.sizes.append(len(hashes))
+        self.n += len(self.tokens[-1])
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        if self.ids:
+            tokens = np.concatenate(self.tokens)
+            own = np.repeat(np.arange(len(self.ids)), [len(t) for t in self.tokens])
+            order = np.argsort(tokens)
+            tokens, own = tokens[order], own[order]
+            starts = _starts(tokens)
+            runs = np.diff(np.append(starts, len(tokens)))
+            often = runs > FREQUENT
+            back = np.repeat(often, runs)
+            kept = _packed(np.array(self.ids, np.int64), np.array(self.sizes, np.int32), own[back].astype(np.uint16), tokens[back])
+            yield _rows(TO_BUCKETS, KEPT, 1, dest=self.turn(1), home=[self.home], packed=[kept])
+            zeros = lambda n: np.zeros(n, np.int64)
+            frequent, tokens, own = tokens[starts[often]], tokens[~back], own[~back]
+            yield from _sent((tokens, zeros(len(tokens)), own, np.array([self.home]), frequent, zeros(len(frequent)), runs[often]), self.buckets)
+        self._next()
+
+
 def _dealt(docs: DataFrame, seed: int, n: int, buckets: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met, held, turn = Words(), set(), Held(), _turns(buckets)
-        none = np.zeros(0, np.int64)
+        known, met, holder = Words(), set(), Holder(buckets)
         for batch in batches:
-            ids, sizes, digests = [], [], []
+            ids, sizes, digests, homes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, known, n)
                 d = digest(s, seed) if len(s) else None
@@ -158,94 +178,113 @@ def _dealt(docs: DataFrame, seed: int, n: int, buckets: int) -> DataFrame:
                 ids.append(i)
                 sizes.append(len(s))
                 digests.append(d)
+                homes.append(holder.home)
+                holder.docs += 1
                 if d and d not in met:
                     met.add(d)
-                    tokens = np.unique((s >> np.uint64(64 - BITS)).astype(np.int64))
-                    held.add(tokens, np.zeros(len(tokens), np.int64), np.array([i], np.int64), np.array([len(s)], np.int64), none, none)
-                    if held.full:
-                        yield from _sent(held, buckets, True, turn)
-            yield _rows(list(DEALT), DOCUMENT, len(ids), dest=turn(len(ids)), doc_id=batch.column("doc_id"), n_shingles=sizes, set_id=ids, digest=digests, mark=batch.column("mark"))
-        yield from _sent(held, buckets, True, turn)
+                    holder.add(i, s)
+                if holder.n >= HELD or holder.docs >= HELD_ROWS:
+                    yield from holder.sent()
+            yield _rows(TO_BUCKETS, DOCUMENT, len(ids), dest=holder.turn(len(ids)), home=homes, doc_id=batch.column("doc_id"), n_shingles=sizes, set_id=ids, digest=digests, mark=batch.column("mark"))
+        yield from holder.sent()
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "mark").mapInArrow(rows, schema(list(DEALT)))
+    return docs.select(F.col("doc_id").cast("long"), "text", "mark").mapInArrow(rows, schema(TO_BUCKETS))
 
 
 def _dealt_again(rows: DataFrame, buckets: int) -> DataFrame:
     """Packed rows of wide ranges cut into those of narrower ones."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, turn = Held(), _turns(buckets)
+        held, turn = Postings(), _turns(buckets)
         for batch in batches:
             is_packed = pc.equal(batch.column("kind"), SHINGLES)
             for data in batch.filter(is_packed).column("packed"):
-                held.add(*unpack(data.as_py()))
+                held.add_packed(data.as_py())
                 if held.full:
-                    yield from _sent(held, buckets, False, turn)
+                    yield from _sent(held.taken(), buckets)
             rest = batch.filter(pc.invert(is_packed))
             yield rest.set_column(0, "dest", pa.array(turn(rest.num_rows), pa.int64()))
-        yield from _sent(held, buckets, False, turn)
+        yield from _sent(held.taken(), buckets)
 
-    return rows.repartition("dest").mapInArrow(again, schema(list(DEALT)))
+    return rows.repartition("dest").mapInArrow(again, schema(TO_BUCKETS))
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """A bucket's shared shingles by set, its frequent shingles' counts, and its other rows as they are."""
+def _answered(table: pa.Table) -> pa.Table:
+    """A bucket's answers to its holders, and its other rows as they are."""
     is_packed = pc.equal(table["kind"], SHINGLES)
-    rest = table.filter(pc.invert(is_packed)).select(SHARED)
-    held = Held()
+    rest = table.filter(pc.invert(is_packed)).select(TO_HOLDERS)
+    held = Postings()
     for data in table.filter(is_packed)["packed"]:
-        held.add(*unpack(data.as_py()))
-    tokens, owners, ids, sizes, frequent, counts = held.taken()
-    starts = _starts(tokens)
-    n, distinct, sets = np.diff(np.append(starts, len(tokens))), tokens[starts], ids[owners]
-    several = np.zeros(len(starts), bool)
-    if len(starts):
-        several = np.minimum.reduceat(sets, starts) != np.maximum.reduceat(sets, starts)
-    # counts of both kinds of entries together
-    at = np.searchsorted(distinct, frequent)
-    here = (at < len(distinct)) & (distinct[np.minimum(at, max(0, len(distinct) - 1))] == frequent) if len(distinct) else np.zeros(len(frequent), bool)
-    total = n.copy()
-    total[at[here]] += counts[here]
-    several[at[here]] = True
-    counts = counts.copy()
-    counts[here] = total[at[here]]
-    shared = np.repeat(several, n)
-    marked = numbered(np.repeat(total, n)[shared], tokens[shared])
-    owners = owners[shared]
-    order = np.argsort(sets[shared], kind="stable")
-    sets, owners, marked = sets[shared][order], owners[order], marked[order]
-    first = _starts(sets)
-    found = [_rows(SHARED, SHINGLES, len(first), set_id=sets[first], n_shingles=sizes[owners[first]].astype(np.int64), tokens=_lists(marked, first))]
-    found.append(_rows(SHARED, COUNT, len(frequent), set_id=frequent, n_shingles=counts))
-    return pa.concat_tables([rest.cast(found[0].schema), pa.Table.from_batches(found)])
-
-
-def numbered(counts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Numbers that sort by count, then by shingle."""
-    return np.minimum(counts, 32767) << BITS | tokens
+        held.add_packed(data.as_py())
+    tokens, home, own, homes, often, often_home, counts = held.taken()
+    # entries of both kinds count together
+    distinct, at = np.unique(np.append(tokens, often), return_inverse=True)
+    total = np.minimum(np.bincount(at, np.append(np.ones(len(tokens)), counts), len(distinct)), MOST).astype(np.uint16)
+    n, n_often = total[at[: len(tokens)]], total[at[len(tokens) :]]
+    several = n > 1
+    tokens, home, own, n = tokens[several], home[several], own[several], n[several]
+    order, order_often = np.argsort(home, kind="stable"), np.argsort(often_home, kind="stable")
+    tokens, home, own, n = tokens[order], home[order], own[order], n[order]
+    often, often_home, n_often = often[order_often], often_home[order_often], n_often[order_often]
+    met, rows = np.union1d(home, often_home), []
+    for i, j, k, m in zip(*(np.searchsorted(x, met, side) for x in (home, often_home) for side in ("left", "right")), strict=True):
+        rows.append(_packed((tokens[i:j] >> 32).astype(np.uint16), tokens[i:j].astype(np.uint32), n[i:j], own[i:j].astype(np.uint16), often[k:m], n_often[k:m]))
+    answers = _rows(TO_HOLDERS, SHINGLES, len(rows), home=homes[met] if len(met) else [], packed=rows)
+    return pa.concat_tables([rest.cast(answers.schema), pa.Table.from_batches([answers])])
+
+
+def least_shared(size: np.ndarray) -> np.ndarray:
+    """The smallest overlap that sets of these sizes can have with one that they link to."""
+    return -(-3 * size // 4)
+
+
+def _returned(table: pa.Table) -> pa.Table:
+    """A holder's sets that may link, with their shared shingles, and its documents."""
+    of = lambda kind: table.filter(pc.equal(table["kind"], kind))
+    documents = of(DOCUMENT).append_column("tokens", pa.nulls(len(of(DOCUMENT)), _ARROW["tokens"])).select(RESULT)
+    parts, often = [], []
+    for data in of(SHINGLES)["packed"]:
+        high, low, n, own, tokens, totals = _unpacked(data.as_py(), np.uint16, np.uint32, np.uint16, np.uint16, np.int64, np.uint16)
+        parts.append((n.astype(np.int64) << BITS | high.astype(np.int64) << 32 | low, own))
+        often.append((tokens, totals))
+    for data in of(KEPT)["packed"]:
+        ids, sizes, own, tokens = _unpacked(data.as_py(), np.int64, np.int32, np.uint16, np.int64)
+        if len(tokens):
+            names, totals = (np.concatenate(x) for x in zip(*often, strict=True))
+            order = np.argsort(names)
+            parts.append((totals[order][np.searchsorted(names[order], tokens)].astype(np.int64) << BITS | tokens, own))
+    if not parts:
+        return documents
+    numbers, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+    shared = np.bincount(own, minlength=len(ids))
+    keep = (shared >= least_shared(sizes))[own]
+    numbers, own = numbers[keep], own[keep]
+    order = np.lexsort((numbers, own))
+    numbers, own = numbers[order], own[order]
+    starts = _starts(own)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(numbers)), pa.int32()), pa.array(numbers, pa.int64()))
+    found = _rows(RESULT, SET, len(starts), set_id=ids[own[starts]], n_shingles=sizes[own[starts]].astype(np.int64), tokens=lists)
+    return pa.concat_tables([documents.cast(found.schema), pa.Table.from_batches([found])])
 
 
 def shared_shingles(docs: DataFrame, seed: int, n: int) -> DataFrame:
-    """Rows of all four kinds of docs (doc_id, text, mark): (kind, doc_id, n_shingles, set_id, digest, mark, tokens).
+    """Rows of two kinds of docs (doc_id, text, mark): (kind, doc_id, n_shingles, set_id, digest, mark, tokens).
 
-    SHINGLES: a set's shared shingles of one bucket, numbered in the global order. KEPT_BACK: shingles of a set without their
-    counts. COUNT: a shingle (as set_id) and the sets that have it (as n_shingles). n_shingles is else the set's size.
+    DOCUMENT: one row per row of docs. SET: a set, of n_shingles, and its shingles that occur more than once, in the global
+    order; as often as tasks met that set, and only if these are enough for a link.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     rows = _dealt(docs, seed, n, min(buckets, FAN))
     if buckets > FAN:
         rows = _dealt_again(rows, buckets)
-    return rows.groupBy("dest").applyInArrow(_counted, schema(SHARED))
+    answered = rows.groupBy("dest").applyInArrow(_answered, schema(TO_HOLDERS))
+    return answered.groupBy("home").applyInArrow(_returned, schema(RESULT))
 
 
 def sets_of(found: DataFrame) -> DataFrame:
-    """(set_id, size, tokens): each set's shared shingles in the global order."""
-    of = lambda kind: found.where(F.col("kind") == kind)
-    own = of(SHINGLES).select("set_id", F.col("n_shingles").cast("int").alias("size"), "tokens")
-    back = of(KEPT_BACK).select("set_id", F.col("n_shingles").cast("int").alias("size"), F.explode("tokens").alias("token"))
-    counts = of(COUNT).select(F.col("set_id").alias("token"), F.shiftleft(F.least(F.col("n_shingles"), F.lit(32767)), BITS).alias("count"))
-    back = back.join(counts, "token").select("set_id", "size", F.array(F.col("count").bitwiseOR(F.col("token"))).alias("tokens"))
-    # a set met by several tasks comes once from each of them
-    per = own.union(back).groupBy("set_id").agg(F.max("size").alias("size"), F.flatten(F.collect_list("tokens")).alias("tokens"))
-    return per.withColumn("tokens", F.sort_array(F.array_distinct("tokens")))
+    """(set_id, size, tokens): each set once, with the shingles that it shares with another one, in the global order."""
+    # a set met by several tasks was counted once for each of them
+    per = found.where(F.col("kind") == SET).groupBy("set_id").agg(F.count("*").alias("met"), F.first("n_shingles").cast("int").alias("size"), F.first("tokens").alias("tokens"))
+    others = F.filter("tokens", lambda t: (F.shiftright(t, BITS) > F.col("met")) | (F.shiftright(t, BITS) == MOST))
+    return per.select("set_id", "size", F.when(F.col("met") > 1, others).otherwise(F.col("tokens")).alias("tokens"))
