@@ -9,8 +9,10 @@ window of the longest piece's length holds all that later boundaries may use. As
 boundaries in the window lead through one boundary, the pieces before it are certain: they are committed and forgotten.
 Memory thus depends on the longest piece and not on the text.
 
-No piece has the space mark after another character, so all paths meet wherever a word begins; what lies between two such
-boundaries is remembered per task and not decoded twice. Characters outside the vocabulary become byte pieces.
+No piece has the space mark after another character, so all paths meet wherever a word begins; they also meet between two
+characters that no piece has side by side. What lies between two such boundaries is committed there, remembered by the worker
+and not segmented twice; only what is longer than the window needs commits on its way. Characters outside the vocabulary
+become byte pieces.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are encoded independently; an
 empty table gives an empty table; further columns pass through.
@@ -20,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -31,8 +35,10 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: A stretch between boundaries where all paths meet: spaces and the word behind them. Longer ones are not remembered.
-STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-REMEMBERED_CHARS, CACHE_STRETCHES, CACHE_PAIRS = 64, 250_000, 300_000
+STRETCH = re.compile(" *[^ ]+| +")
+REMEMBERED_CHARS, CACHE_STRETCHES, CACHE_PARTS, CACHE_PAIRS = 64, 200_000, 300_000, 500_000
+#: In place of a piece: a text's beginning, or a character of no piece, next to which nothing merges; a boundary of no path.
+START, NONE = -1, -2
 
 
 class Vocabulary:
@@ -50,12 +56,15 @@ class Vocabulary:
         self.id_of = {p: i for i, p in enumerate(self.piece_of) if not special(i) and not model.is_byte(i)}
         self.rank = {p: model.get_score(i) for p, i in self.id_of.items()}
         self.longest = max(map(len, self.id_of))
+        self.neighbours = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         self.utf8 = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if special(i) else self.piece_of[i].encode() for i in range(n)]
         self.finder = ahocorasick.Automaton()
+        #: Of each piece, the pieces before it that were tried, and whether the model keeps the boundary.
+        self.before: dict[int, dict[int, bool]] = {i: {} for i in self.id_of.values()}
         for p, i in self.id_of.items():
-            self.finder.add_word(p, (len(p), i))
+            self.finder.add_word(p, (len(p), i, self.before[i].get))
         self.finder.make_automaton()
-        self.pairs: dict[int, bool] = {}  # by left << 20 | right
+        self.pairs = 0
         self.whole: dict[int, bool] = {}
         self.grown: dict[int, tuple | None] = {}
 
@@ -100,10 +109,23 @@ class Vocabulary:
         return found
 
     def joins(self, left: int, right: int) -> bool:
-        """Whether the model keeps the boundary between two pieces."""
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        found = self.pairs[left << 20 | right] = self._joins(left, right)
+        """Whether the model keeps the boundary between two pieces; after START, whether it keeps the right one."""
+        if self.pairs >= CACHE_PAIRS:
+            self.pairs = 0
+            for known in self.before.values():
+                known.clear()
+        self.pairs += 1
+        found = self.before[right][left] = left != NONE and (self.stands(right) if left == START else self._joins(left, right))
+        return found
+
+    def parts(self, text: str) -> list[str]:
+        """text cut between characters that no piece has side by side."""
+        known, at, found = self.neighbours, 0, []
+        for i, pair in enumerate(map(add, text, text[1:]), 1):
+            if pair not in known:
+                found.append(text[at:i])
+                at = i
+        found.append(text[at:])
         return found
 
     def _joins(self, left: int, right: int) -> bool:
@@ -133,87 +155,89 @@ class Stream:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.text, self.base = "", 0  # the window's characters; the stream's offset of its first one
-        self.last: list[tuple[int, int] | None] = [(0, -1)]  # per boundary of the window: length and id of the piece before it
         self.width = 0  # the largest window held so far
+        self._clear()
+
+    def _clear(self) -> None:
+        self.text, self.base = "", 0  # the window's characters; the stream's offset of its first one
+        self.sizes, self.pieces = [0], [START]  # per boundary of the window: length and id of the piece before it
 
     def push(self, text: str) -> list[int]:
         v, found = self.v, []
         for at in range(0, len(text), 4 * v.longest):
-            part = text[at : at + 4 * v.longest]
             old = len(self.text)
-            self.text += part
+            self.text += text[at : at + 4 * v.longest]
             self._extend(old)
             self.width = max(self.width, len(self.text))
-            found += self._commit()
+            if len(self.text) > v.longest:
+                found += self._commit()
         return found
 
     def _extend(self, old: int) -> None:
         """Finds the last piece of every boundary after `old`."""
-        v, last, text = self.v, self.last, self.text
-        pairs, whole = v.pairs, v.whole
+        v, sizes, pieces, text = self.v, self.sizes, self.pieces, self.text
         n = old + 1  # the boundary to decide next
-        for end, (size, piece) in v.finder.iter(text, max(0, old - v.longest + 1)):
-            b = end + 1
-            if b < n:
+        for end, (size, piece, known) in v.finder.iter(text, max(0, old - v.longest + 1)):
+            if end + 1 < n:
                 continue
-            while n < b:
-                last.append(self._alone(n))
+            while n <= end:
+                self._alone(n)
                 n += 1
-            before = last[b - size]
-            if before is None:
-                continue
-            left = before[1]
-            ok = whole.get(piece) if left < 0 else pairs.get(left << 20 | piece)
+            left = pieces[n - size]
+            ok = known(left)
             if ok is None:
-                ok = v.stands(piece) if left < 0 else v.joins(left, piece)
+                ok = v.joins(left, piece)
             if ok:
-                last.append((size, piece))
+                sizes.append(size)
+                pieces.append(piece)
                 n += 1
         while n <= len(text):
-            last.append(self._alone(n))
+            self._alone(n)
             n += 1
 
-    def _alone(self, b: int) -> tuple[int, int] | None:
-        """A character that no piece has is a piece of its own, next to which nothing merges."""
-        return None if self.text[b - 1] in self.v.id_of else (1, -1)
+    def _alone(self, b: int) -> None:
+        """A character that no piece has is a piece of its own."""
+        self.sizes.append(1)
+        self.pieces.append(NONE if self.text[b - 1] in self.v.id_of else START)
 
     def _commit(self) -> list[int]:
         """Emits what lies before the boundary through which the paths of the window's last boundaries all go."""
         n = len(self.text)
-        alive = {b for b in range(max(0, n - self.v.longest + 1), n + 1) if self.last[b] is not None}
+        alive = {b for b in range(max(0, n - self.v.longest + 1), n + 1) if self.pieces[b] != NONE}
         while len(alive) > 1:  # the furthest boundary steps back until all paths meet
             b = max(alive)
             alive.remove(b)
-            alive.add(b - self.last[b][0])
+            alive.add(b - self.sizes[b])
         b = alive.pop()
         if not b:
             return []
         ids = self._path(b)
         self.text, self.base = self.text[b:], self.base + b
-        self.last = self.last[b:]
-        self.last[0] = (0, self.last[0][1])
+        self.sizes, self.pieces = self.sizes[b:], self.pieces[b:]
         return ids
 
     def _path(self, b: int) -> list[int]:
-        parts = []
+        found, sizes, pieces = [], self.sizes, self.pieces
         while b:
-            size, piece = self.last[b]
-            parts.append([piece] if piece >= 0 else [self.v.bytes[x] for x in self.text[b - 1].encode("utf-8", "surrogatepass")])
-            b -= size
-        return [i for part in reversed(parts) for i in part]
-
-    def whole(self, text: str) -> list[int]:
-        """The ids of one stretch, in one go where it fits into the window."""
-        if len(text) > self.v.longest:
-            return self.push(text) + self.finish()
+            piece = pieces[b]
+            if piece >= 0:
+                found.append(piece)
+            else:
+                found += [self.v.bytes[x] for x in reversed(self.text[b - 1].encode("utf-8", "surrogatepass"))]
+            b -= sizes[b]
+        found.reverse()
+        return found
+
+    def short(self, text: str) -> list[int]:
+        """The ids of a stretch that fits into the window: all of them are certain at its end."""
         self.text = text
         self._extend(0)
         return self.finish()
 
     def finish(self) -> list[int]:
+        """The rest: all paths meet where a stretch ends."""
         ids = self._path(len(self.text))
-        self.text, self.base, self.last = "", 0, [(0, -1)]
+        self._clear()
         return ids
 
 
@@ -223,13 +247,30 @@ class Codec:
     def __init__(self, path: str) -> None:
         self.v = Vocabulary(path)
         self.stream = Stream(self.v)
+        # what was met lately, and before that: stretches, and the parts that they are cut into
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def _segmented(self, part: str) -> bytes:
+        ids = self.old_parts.get(part)
+        if ids is None:
+            stream = self.stream
+            ids = array("i", stream.short(part) if len(part) <= self.v.longest else stream.push(part) + stream.finish()).tobytes()
+        if len(part) <= REMEMBERED_CHARS:
+            if len(self.parts) >= CACHE_PARTS:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[part] = ids
+        return ids
 
     def _met(self, text: str) -> bytes:
-        ids = np.array(self.stream.whole(text), np.int32).tobytes()
+        """The ids of a stretch that is not among those met lately."""
+        ids = self.old.get(text)
+        if ids is None:
+            text_ = text.replace(" ", SPACE)
+            ids = b"".join([self.parts.get(part) or self._segmented(part) for part in ([text_] if text[1:].isalpha() else self.v.parts(text_))])
         if len(text) <= REMEMBERED_CHARS:
-            if len(self.known) >= CACHE_STRETCHES:
-                self.known.clear()
             self.known[text] = ids
         return ids
 
@@ -237,8 +278,10 @@ class Codec:
         """int32 ids."""
         if not text:
             return np.zeros(0, np.int32)
+        if len(self.known) >= CACHE_STRETCHES:
+            self.old, self.known = self.known, {}
         known, met = self.known, self._met
-        return np.frombuffer(b"".join([known.get(part) or met(part) for part in STRETCH.findall(SPACE + text.replace(" ", SPACE))]), np.int32)
+        return np.frombuffer(b"".join([known.get(part) or met(part) for part in STRETCH.findall(" " + text.replace(SPACE, " "))]), np.int32)
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids, without the leading space; bytes that are no UTF-8 become replacement characters."""
