@@ -144,6 +144,9 @@ def test_decontamination_equals_brute_force(spark):
 
     got = sorted(map(tuple, decontaminate.marked_rows(d, b).collect()), key=repr)
     assert got == sorted([(i, *brute(t)) for i, t in docs], key=repr)
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert plain(decontaminate.hits(d, b, broadcast_bytes=0)) == plain(decontaminate.hits(d, b))
+    assert plain(decontaminate.drop_documents(d, b, broadcast_bytes=0)) == plain(decontaminate.drop_documents(d, b))
     kept = decontaminate.drop_documents(d, b)
     assert kept.columns == d.columns and kept.count() == sum(not brute(t)[4] for _, t in docs)
     clean = decontaminate.cut_spans(d, b)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Documents that one Arrow batch holds: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 256
+#: Tokens of more characters are not remembered, so that a number of tokens bounds a worker's memory.
+REMEMBERED_CHARS = 64
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +25,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -67,7 +73,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     """(text, label) of at most `rows` labelled documents outside the held-out fifth, the same ones at every run.
 
     The ids are chosen by hash from all labels, so the sample's size is bounded by `rows`; that bound is what makes the
-    broadcast of the chosen ids safe. Conflicting labels of one id count as their maximum.
+    broadcast of the chosen ids safe. Conflicting labels of one id count as their maximum; of an id's rows the smallest text counts.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -76,4 +82,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

@@ -1,11 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
-A benchmark item's windows are its runs of 13 consecutive words (or all its words, if fewer). Every distinct window gets an
-anchor, its word that the fewest items hold (the longest of equals). The scan of the documents splits each text into words
-once, unrolls them with their positions and probes a hash set of the anchors: a hash join whose small side is broadcast
-only while its measured size stays below `broadcast_bytes`; beyond it the planner shuffles. Anchors are rare words, so few
-positions pass; there the whole window is compared word by word, so that no hash decides. Verified occurrences are united
-per document into hit words, and the caller drops whole documents or cuts the hit spans.
+A benchmark item's windows are its runs of 13 consecutive words (or all its words, if fewer). The scan splits each document's
+text into words once and probes a hash set with the hash of every window of the lengths that occur: a hash join whose small
+side is broadcast only while its measured size stays below `broadcast_bytes`. Few positions pass; there the windows are
+compared word by word, so that no hash decides. Beyond that size only (document, position, hash) is shuffled to the windows,
+and what meets fetches its words for the comparison. Verified occurrences are united per document into hit words, and the
+caller drops whole documents or cuts the hit spans.
 
 Words: A-Z are lower-cased and the text is cut at every ASCII character that is neither letter nor digit.
 
@@ -15,10 +15,14 @@ in the counting and each get its result; a null doc_id is a value like others; a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WINDOW = 13
+#: Measured bytes up to which a table is broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Fixed value: the ASCII characters that part words, after A-Z have become a-z.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,37 +36,43 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(window, anchor, ahead, items): distinct windows as arrays of words, an anchor word, the number of words before it, the items."""
+    """(key, length, window, items): distinct windows as arrays of words, their hash and number of words, the items."""
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    held = items.select("item_id", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("in_items"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - n))
     window = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("words"), i + 1, F.least(F.lit(n), F.size("words"))))).alias("window"))
     window = window.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    places = window.select("window", "items", F.posexplode("window").alias("ahead", "word")).join(held, "word")
-    best = F.row_number().over(Window.partitionBy("window").orderBy("in_items", F.length("word").desc(), "word", "ahead"))
-    return places.withColumn("__best", best).where("__best = 1").select("window", F.col("word").alias("anchor"), "ahead", "items")
+    return window.select(F.xxhash64("window").alias("key"), F.size("window").alias("length"), "window", "items")
+
+
+def fits(df: DataFrame, row_bytes: Column | int, broadcast_bytes: int) -> bool:
+    """Whether the rows of df, of the given sizes, fit into a broadcast."""
+    return (df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0) <= broadcast_bytes
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """(doc_id, text_hash, n_hit, item_ids, spans) of the documents with hits; spans are (first, last) word positions of occurrences.
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, text_hash, n_words, n_hit, item_ids, spans) of the documents with hits; spans are (first, last) word positions of occurrences.
 
     text_hash tells apart rows that share a doc_id.
     """
-    found = windows(benchmark, n)
-    size = found.agg(F.sum(F.octet_length(F.to_json("window")) + 16 * F.size("items") + 64)).first()[0] or 0
-    if size <= broadcast_bytes:
-        found = F.broadcast(found)
+    found = stored(windows(benchmark, n), "windows")
+    lengths = [r[0] for r in found.select("length").distinct().orderBy("length").collect()]  # n of them at most
+    small = fits(found, F.octet_length(F.to_json("window")) + 16 * F.size("items") + 64, broadcast_bytes)
     placed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
-    # the outer form gives the same rows here; from the inner one the planner infers a filter that splits every text twice
-    unrolled = placed.select("doc_id", "text_hash", "words", F.posexplode_outer("words").alias("at", "word"))
-    start = F.col("at") - F.col("ahead")
-    met = (
-        unrolled.join(found.withColumn("__key", F.xxhash64("anchor")), F.xxhash64("word") == F.col("__key"))  # long keys probe fastest
-        .where((F.col("word") == F.col("anchor")) & (start >= 0) & (start + F.size("window") <= F.size("words")))
-        .where(F.slice(F.col("words"), start + 1, F.size("window")) == F.col("window"))
-        .select("doc_id", "text_hash", start.alias("first"), (start + F.size("window") - 1).alias("last"), "items")
+    # the outer forms give the same rows here; from the inner ones the planner infers filters that split every text again
+    sized = placed.select("*", F.explode_outer(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("length"))
+    starts = F.when(F.size("words") >= F.col("length"), F.sequence(F.lit(0), F.size("words") - F.col("length")))
+    scanned = sized.select("*", F.explode_outer(starts).alias("first"))
+    window = lambda: F.slice(F.col("words"), F.col("first") + 1, F.col("length"))
+    scanned = scanned.withColumn("key", F.xxhash64(window()))
+    if small:
+        met = scanned.join(F.broadcast(found), ["key", "length"])
+    else:
+        near = scanned.where("first IS NOT NULL").select("doc_id", "text_hash", "length", "first", "key").join(found, ["key", "length"])
+        met = stored(near.distinct(), "met").alias("m").join(placed.alias("p"), F.expr("m.doc_id <=> p.doc_id AND m.text_hash = p.text_hash")).select("m.*", "p.words")
+    met = met.where(window() == F.col("window")).select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "first", (F.col("first") + F.col("length") - 1).alias("last"), "items")
+    per = met.groupBy("doc_id", "text_hash").agg(
+        F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids")
     )
-    per = met.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("item_ids"))
     # spans come by their first word: each adds what lies behind the furthest word so far
     total = F.aggregate(
         "spans",
@@ -70,7 +80,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_bytes
         lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(acc["end"], x["first"] - 1))).alias("n"), F.greatest(acc["end"], x["last"]).alias("end")),
         lambda acc: acc["n"],
     )
-    return per.select("doc_id", "text_hash", total.cast("long").alias("n_hit"), "item_ids", "spans")
+    return per.select("doc_id", "text_hash", "n_words", total.cast("long").alias("n_hit"), "item_ids", "spans")
 
 
 #: Names of the results beside a document's own columns, under which no table's columns are expected.
@@ -91,9 +101,12 @@ def marked(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, one_in: int =
     return _judged(docs.drop(*RESULTS.values()), benchmark, n, one_in).withColumnsRenamed(RESULTS)
 
 
-def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, one_in: int = 20) -> DataFrame:
-    """docs without the contaminated ones."""
-    return _judged(docs, benchmark, n, one_in).where(~F.col("__contaminated")).drop(*RESULTS)
+def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, one_in: int = 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without the contaminated ones. Texts stay in place while the contaminated ones' keys are measured to fit into a broadcast."""
+    found = stored(hits(docs, benchmark, n, broadcast_bytes).where(one_in * F.col("n_hit") >= F.col("n_words")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__found")), "contaminated")
+    bad = F.broadcast(found) if fits(found, 64, broadcast_bytes) else found
+    at = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__found"))
+    return docs.withColumn("__hash", F.xxhash64("text")).join(bad, at, "left_anti").drop("__hash")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:

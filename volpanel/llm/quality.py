@@ -133,7 +133,9 @@ def score(text: Column, model: Model) -> Column:
             if len(known) >= CACHE_TOKENS:
                 known.clear()
             ids = features(token, s.buckets, s.ngrams)
-            found = known[token] = (float(weights[ids].sum()), len(ids))
+            found = (float(weights[ids].sum()), len(ids))
+            if len(token) <= common.REMEMBERED_CHARS:
+                known[token] = found
             return found
 
         def logit(x: str | None) -> float:

@@ -106,8 +106,12 @@ def fill_cache(docs: DataFrame, cache: str, path: str, pattern: str, text: str =
     Two runs may append the same content at the same time; counts are a function of the key, so either row serves.
     """
     tokenizer = tokenizer_digest(path)
-    contents = docs.select(content_digest(F.col(text)).alias("content_digest"), normalised(F.col(text)).alias("text")).groupBy("content_digest").agg(F.first("text").alias("text"))
-    misses = contents.join(cached(docs.sparkSession, cache, tokenizer), "content_digest", "left_anti")
+    contents = docs.select(content_digest(F.col(text)).alias("content_digest"), normalised(F.col(text)).alias("text"))
+    known = cached(docs.sparkSession, cache, tokenizer)
+    if not known.isEmpty():  # digests first: only texts that the cache lacks are moved
+        missing = common.stored(contents.select("content_digest").distinct().join(known, "content_digest", "left_anti"), "missing")
+        contents = contents.join(missing, "content_digest", "left_semi")
+    misses = contents.groupBy("content_digest").agg(F.first("text").alias("text"))
     encode_misses(misses, path, pattern).select("content_digest", F.lit(tokenizer).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
 
 

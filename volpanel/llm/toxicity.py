@@ -319,7 +319,9 @@ def score(text: Column, model: Model) -> Column:
             if len(known) >= CACHE_TOKENS:
                 known.clear()
             words = WORDS.findall(restorer.token(token))
-            kept = known[token] = frozenset(names[i] for _, i in finder.iter(marked_words(words))) if words and finder else frozenset()
+            kept = frozenset(names[i] for _, i in finder.iter(marked_words(words))) if words and finder else frozenset()
+            if len(token) <= common.REMEMBERED_CHARS:
+                known[token] = kept
             return kept
 
         def logit(x: str | None) -> float:
