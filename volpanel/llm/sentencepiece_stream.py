@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: A stretch between boundaries where all paths meet: spaces and the word behind them. Longer ones are not remembered.
 STRETCH = re.compile(" *[^ ]+| +")
-REMEMBERED_CHARS, CACHE_STRETCHES, CACHE_PARTS, CACHE_PAIRS = 64, 200_000, 300_000, 500_000
+REMEMBERED_CHARS, CACHE_STRETCHES, CACHE_PARTS, CACHE_PAIRS = 64, 150_000, 200_000, 300_000
 #: In place of a piece: a text's beginning, or a character of no piece, next to which nothing merges; a boundary of no path.
 START, NONE = -1, -2
 
