@@ -1,5 +1,9 @@
 """The jobs end to end on the stand-ins, with test-sized parameters."""
 
+import datetime as dt
+
+import pytest
+
 from volpanel.plans import fixtures as fx
 from volpanel.plans import flows
 
@@ -21,3 +25,22 @@ def test_panel_to_models_and_diagnosis(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/tests").count() == 25 * 2 * 2 * 3
     flows.diagnose(panel, dimension, str(tmp_path), run)
     assert spark.read.parquet(f"{tmp_path}/error_summary").where("abs(decomposition_gap) < 1e-9").count() == 5
+
+
+def test_import_bars(spark, tmp_path):
+    """Two days of three minutes: a bar twice, a bar before the session, a day of the stock alone, and a day that is delivered again."""
+    at = lambda day, h, m: int(dt.datetime(2024, 1, day, h + 5, m, tzinfo=dt.timezone.utc).timestamp() * 1000)
+    market = [{"t": at(d, 9, m), "c": 10.0 + m} for d in (2, 3) for m in (30, 31, 32)]
+    stock = [{"t": at(2, 9, 30), "c": 1.0}, {"t": at(2, 9, 30), "c": 9.0}, {"t": at(2, 9, 29), "c": 7.0}, {"t": at(2, 9, 31), "c": 2.0}, {"t": at(4, 9, 31), "c": 5.0}]
+    payloads = spark.createDataFrame([("M", market), ("F", market), ("S", stock), ("E", [])], "ticker string, results array<struct<t: bigint, c: double>>")
+    dimension = spark.createDataFrame([("S", "A", "F")], "ticker string, sector string, sector_etf string")
+    ts = lambda m: dt.datetime(2024, 1, 2, 9, m)
+    patch = spark.createDataFrame([("S", dt.date(2024, 1, 2), ts(31), 3.0), ("S", dt.date(2024, 1, 2), ts(45), 4.0)], "ticker string, date date, ts timestamp, close double")
+    run = flows.Run("M", bad_share=0.3)
+    bars = flows.import_bars(payloads, dimension, str(tmp_path / "a"), None, run)
+    assert [(r.m, r.close) for r in bars.where("ticker = 'S'").orderBy("m").collect()] == [(0, 1.0), (1, 2.0)]
+    assert bars.where("ticker = 'M'").count() == 6
+    bars = flows.import_bars(payloads, dimension, str(tmp_path / "b"), patch, run)
+    assert [(r.m, r.close) for r in bars.where("ticker = 'S'").collect()] == [(1, 3.0)]
+    with pytest.raises(ValueError, match="no bars of Z"):
+        flows.import_bars(payloads, spark.createDataFrame([("S", "A", "Z")], dimension.schema), str(tmp_path / "c"), None, run)

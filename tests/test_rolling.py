@@ -61,3 +61,21 @@ def test_flat_market_gives_no_component_forecast():
     rng = np.random.default_rng(3)
     found = rolling.component_paths(rng.normal(size=120), np.full(120, 2.0), rng.normal(size=120), 60, LAGS, 82, 30)
     assert np.isnan(found["relative_q"]).all()
+
+
+@pytest.mark.parametrize("noise", [1e-4, 1e-5])
+def test_smooth_series_keep_every_origin(noise):
+    """Near dependence of trailing means is no dependence: every origin equals a fit of its window."""
+    rng = np.random.default_rng(7)
+    n, window, raw = 230, 60, 82
+    t = np.arange(n)
+    m = -9 + np.sin(t / 40) + rng.normal(size=n) * noise
+    s = 0.7 * m - 2 + 0.3 * np.cos(t / 55) + rng.normal(size=n) * noise
+    y = 0.5 * m + 0.6 * s + rng.normal(size=n) * 0.4
+    found = rolling.component_paths(y, m, s, window, LAGS, raw, 30)
+    assert all(np.isfinite(found[c]).all() for c in rolling.COMPONENTS)
+    for k, o in enumerate(found["origin"]):
+        part = slice(o - raw + 1, o + 1)
+        assert found["market_log_rv"][k] == pytest.approx(one_step(m[part]), abs=1e-7)
+        assert found["sector_etf_log_rv"][k] == pytest.approx(one_step(s[part]), abs=1e-7)
+        assert found["stock_log_rv"][k] == pytest.approx(one_step(y[part]), abs=1e-9)

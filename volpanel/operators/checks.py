@@ -167,14 +167,30 @@ def mismatch_rows(forecasts: DataFrame, seen: DataFrame, n_models: int, toleranc
     return forecasts.join(bad.select(*by, *PAIR), [*by, *PAIR], "left_semi")
 
 
+def alignment_facts(seen: DataFrame, models: list[str], reference: str, tolerance: float = 1e-10, by: tuple[str, ...] = ()) -> DataFrame:
+    """The numbers behind the check table, one row per value of by: tickers, dates and pairs are counted in one pass over their union."""
+    ins = [f"in_{i}" for i in range(len(models))]
+    key = lambda kind, ticker, date: F.struct(F.lit(kind).alias("kind"), ticker.cast("string").alias("k1"), date.cast("date").alias("k2"))
+    ticker, date, nothing = F.col("ticker"), F.col("target_date"), F.lit(None)
+    keys = F.array(key("ticker", ticker, nothing), key("target_date", nothing, date), key("pair", ticker, date))
+    ranges = ("actual_range", "origin_range_days")
+    keyed = seen.select(*by, *ins, *ranges, F.explode(keys).alias("key"))
+    one = keyed.groupBy(*by, "key").agg(*(F.bool_or(i).alias(i) for i in ins), *(F.max(r).alias(r) for r in ranges))
+    every = F.forall(F.array(*ins), lambda x: x)
+    differ = sum(((F.col(i) != F.col(ins[models.index(reference)])).cast("int") for i in ins), F.lit(0))
+    of = lambda kind: F.col("key.kind") == kind
+    facts = one.groupBy(*by).agg(
+        *(F.coalesce(F.sum(F.when(of(k), differ)), F.lit(0)).alias(f"n_{k}_differences") for k in ("ticker", "target_date", "pair")),
+        n_if(of("pair") & every).alias("n_common_pairs"), n_if(of("ticker") & every).alias("n_common_tickers"), n_if(of("target_date") & every).alias("n_common_target_dates"),
+        n_if(of("pair") & every & (F.col("actual_range") > tolerance)).alias("n_actual_mismatches"), n_if(of("pair") & every & (F.col("origin_range_days") > 0)).alias("n_origin_mismatches"),
+    )
+    facts = facts.withColumn("expected_common_pairs", F.col("n_common_tickers") * F.col("n_common_target_dates"))
+    return facts.withColumn("common_panel_balanced", F.col("n_common_pairs") == F.col("expected_common_pairs"))
+
+
 def alignment_checks(forecasts: DataFrame, models: list[str], reference: str, tolerance: float = 1e-10, by: tuple[str, ...] = ()) -> DataFrame:
     """The check table over all models; differing origins and an unbalanced panel only warn."""
-    seen = presence(forecasts, models, by)
-    key = list(by)
-    parts = common_panel(seen, len(models), tolerance, by)
-    for name in ("ticker", "target_date", "pair"):
-        n = universe_summary(seen, models, reference, name, by).groupBy(*by).agg(F.sum(F.col("n_missing") + F.col("n_extra")).alias(f"n_{name}_differences"))
-        parts = parts.join(n, key) if key else parts.crossJoin(n)  # one row each
+    key, parts = list(by), alignment_facts(presence(forecasts, models, by), models, reference, tolerance, by)
     single = model_summary(forecasts, (*by, "model"), tolerance)
     faults = sum((F.col(f"n_{c}") for c in ("missing_key_rows", "nonfinite_rows", "duplicate_pairs", "invalid_date_order", "inconsistent_rows")), F.lit(0))
     faulty = single.groupBy(*by).agg(n_if(faults > 0).alias("n_faulty_models"))

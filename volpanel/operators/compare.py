@@ -44,9 +44,10 @@ def sector_losses(by_ticker: DataFrame) -> DataFrame:
     return _means(by_ticker, *KEYS, "sector")
 
 
-def checked(panel: DataFrame, models: list[str], reference: str = "HAR", tolerance: float = 1e-10) -> DataFrame:
-    """panel, or ValueError at a fatal failure in any training window; all windows are checked in one job."""
-    checks.raise_if_fatal(checks.alignment_checks(panel, models, reference, tolerance, ("training_window",)))
+def checked(panel: DataFrame, models: list[str], dimension: DataFrame, market: str, reference: str = "HAR", tolerance: float = 1e-10) -> DataFrame:
+    """panel, or ValueError at a fatal failure of columns, alignment or metadata; all training windows are checked together."""
+    checks.raise_if_fatal(checks.alignment_checks(checks.standard(panel), models, reference, tolerance, ("training_window",)))
+    checks.raise_if_fatal(checks.metadata_checks(panel, dimension, market))
     return panel
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from volpanel.functions.columns import INFINITY, all_finite, blank, finite, share
 
+from volpanel.sources.steps import stored
+
 from .significance import ordered_sectors
 
 
@@ -65,7 +67,8 @@ def _actuals(panel: DataFrame, key: str, name: str) -> DataFrame:
 def error_decomposition(forecasts: DataFrame, panel: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     """Row by row, the forecast error of the component model as weighted errors of market, fund and residual, their squares and cross terms.
 
-    ValueError if a target date is missing from the panel, a stored actual value differs from it, or the parts do not add up.
+    ValueError if a target date is missing from the panel, a stored actual value differs from it, or the parts do not add up. A
+    date at which market or fund have no value gives no row.
     """
     rows = forecasts
     for key, name in (("ticker", "stock_actual"), ("market_ticker", "market_actual"), ("sector_etf", "sector_actual_raw")):
@@ -82,6 +85,7 @@ def error_decomposition(forecasts: DataFrame, panel: DataFrame, tolerance: float
         "final_squared_error": c("final_error") * c("final_error"), "reconstructed_squared_error": c("reconstructed_error") * c("reconstructed_error"), "market_squared_term": m * m,
         "sector_squared_term": s * s, "q_squared_term": q * q, "market_sector_cross_term": 2 * m * s, "market_q_cross_term": 2 * m * q, "sector_q_cross_term": 2 * s * q,
     })
+    rows = stored(rows, "error-decomposition")  # tested and returned
     largest = lambda d: F.max(F.when(F.abs(d) < INFINITY, F.abs(d)))
     missing, actual, parts = rows.agg(F.count_if(c("has_stock_actual").isNull()), largest(c("stock_actual") - c("actual")), largest(c("reconstruction_difference"))).first()
     if missing:

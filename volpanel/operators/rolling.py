@@ -151,6 +151,15 @@ def _trailing(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _refitted(series: np.ndarray, lags: tuple[int, ...]) -> float:
+    """One-step forecast of a window's series by least squares; NaN if a regressor depends on earlier ones."""
+    longest = max(lags)
+    means = [np.lib.stride_tricks.sliding_window_view(series, n).mean(1)[longest - n :] for n in lags]
+    x = np.column_stack([np.ones(len(means[0])), *means])
+    beta = full_rank_fit(x[:-1], series[longest:])
+    return float(beta @ x[-1])
+
+
 def component_paths(y: np.ndarray, m: np.ndarray, s: np.ndarray, window: int, lags: tuple[int, ...], raw: int, least: int) -> dict[str, np.ndarray]:
     """Per origin with a next row: coefficients, and each component's forecast, baseline and actual value at the next row.
 
@@ -217,6 +226,9 @@ def component_paths(y: np.ndarray, m: np.ndarray, s: np.ndarray, window: int, la
         features = (lin[:, :4] @ now[origins][:, :, None])[:, :, 0]
         value = lambda base_rows: constant + sum(w * base_rows[:, j] for j, w in enumerate(weights))  # noqa: B023, E731
         out[name] = (beta * features).sum(1) + level[name]
+        for k in np.flatnonzero(ok & ~good):  # near dependence: that window's series is built and fitted on its own
+            part = base[origins[k] + 1 - raw : origins[k] + 1]
+            out[name][k] = _refitted(part @ np.array([w[k] for w in weights]) + constant[k] + level[name], lags)
         out[f"{name}_actual"] = value(ahead) + level[name]
         out[f"{name}_baseline"] = value(recent) + level[name]
     out |= {"beta_market_hat": bm, "beta_sector_hat": bs, "sector_beta_market_hat": c1}

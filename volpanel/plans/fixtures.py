@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from volpanel.sources.steps import stored
+
 #: Minutes a bar, bars a day.
 STEP, PER_DAY = 60, 24
 MARKET = "T0"
@@ -48,11 +50,11 @@ def log_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(F.broadcast(read(spark, sf_dir, "region").select("r_regionkey", "r_name")), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 rows
         .select("n_name", "r_name", F.date_trunc("week", "l_shipdate").cast("date").alias("date"), F.pow(F.col("l_extendedprice") / 10000.0, 2).alias("sq"))
     )
-    one = lines.groupBy("n_name", "r_name", "date").agg(F.sum("sq").alias("sq"))  # one shuffle; funds and market add up its rows
+    one = stored(lines.groupBy("n_name", "r_name", "date").agg(F.sum("sq").alias("sq")), "weeks")  # line items are read once; funds and market add up these rows
     series = lambda name: one.select(name.alias("ticker"), "date", "sq").groupBy("ticker", "date").agg(F.log(F.sum("sq")).alias("log_rv"))
     found = series(F.col("n_name")).union(series(F.concat(F.lit("ETF_"), F.col("r_name")))).union(series(F.lit("MKT")))
     full = found.select("date").distinct().crossJoin(F.broadcast(found.select("ticker").distinct()))  # weeks times tickers, the size of the panel
-    return full.join(found, ["ticker", "date"], "left").select("ticker", "date", "log_rv")
+    return stored(full.join(found, ["ticker", "date"], "left").select("ticker", "date", "log_rv"), "panel")
 
 
 def panel_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
-"""The three runs as jobs: bars to panel, panel to compared models, component diagnostics. Each writes its tables as Parquet.
+"""The runs as jobs: payloads to bars, bars to panel, panel to compared models, component diagnostics. Each writes its tables as Parquet.
 
-spark-submit volpanel/plans/flows.py BARS DIMENSION OUT, with bars (ticker, date, m, close) and dimension (ticker, sector, sector_etf).
+spark-submit volpanel/plans/flows.py BARS DIMENSION OUT, with bars (ticker, date, m, close) and dimension (ticker, sector, sector_etf);
+BARS may also be landed payloads (ticker, results), from which the bars are taken first.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ import sys
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from volpanel.operators import clean, compare, diagnostics, rolling, significance, signature, variance
+from volpanel.sources import bars as landing
 from volpanel.sources.bars import first_bars, write_table
 
 
@@ -34,11 +37,38 @@ class Run:
     windows: tuple[int, ...] = tuple(range(100, 801, 50))
     table_windows: tuple[int, ...] = (100, 400, 800)
     diagnosis_window: int = 800
+    first_day: str | None = None
+    last_day: str | None = None
+    bad_share: float = 0.90
+    most_patches: int = 200
+
+
+def import_bars(payloads: DataFrame, dimension: DataFrame, out: str, patch: DataFrame | None = None, run: Run = Run()) -> DataFrame:
+    """Landed payloads (ticker, results) to bars (ticker, date, ts, m, close) of the session on the market's trading days.
+
+    Of equal times the first bar stays; bad ticker-days get the days that `patch` (ticker, date, ts, close) re-delivers.
+    ValueError if a fund or the market has no bar.
+    """
+    session = landing.session_bars(landing.exploded(payloads))
+    days = landing.trading_days(session.where(F.col("ticker") == run.market), run.first_day, run.last_day)
+    write_table(first_bars(landing.on_days(session, days)).drop("ingest_seq"), f"{out}/landed", ["date"])
+    found = payloads.sparkSession.read.parquet(f"{out}/landed").select("ticker", "date", "ts", "close")
+    if patch is not None:
+        times = found.select("date", "ts").distinct()
+        wanted = landing.capped(landing.bad_ticker_days(found, found, times, run.bad_share), run.most_patches)
+        found = landing.overlay(found, times, patch.join(wanted, ["date", "ticker"], "left_semi"))
+    write_table(found.withColumn("m", F.hour("ts") * 60 + F.minute("ts") - (9 * 60 + 30)), f"{out}/bars", ["date"])
+    stored = payloads.sparkSession.read.parquet(f"{out}/bars")
+    required = dimension.select(F.col("sector_etf").alias("ticker")).where("ticker IS NOT NULL").union(payloads.sparkSession.createDataFrame([(run.market,)], "ticker string"))
+    gone = [r.ticker for r in landing.missing_series(stored, required).orderBy("ticker").collect()]  # funds and market: a few
+    if gone:
+        raise ValueError(f"no bars of {', '.join(gone)}")
+    return stored
 
 
 def bars_to_panel(bars: DataFrame, dimension: DataFrame, out: str, run: Run = Run()) -> DataFrame:
     """Filters, fills, returns, signature and the daily log-variance panel; returns the panel without bad benchmark dates."""
-    spark, days = bars.sparkSession, bars.select("date").distinct().persist()
+    spark, days = bars.sparkSession, bars.select("date").distinct()
     kept = clean.ungapped(clean.covered(clean.on_grid(bars, days, run.per_day), days, run.per_day, run.coverage), days, run.big_gap, run.big_gap_share, run.gap_limit)
     full = clean.aligned(kept, clean.grid(days, run.per_day), kept)
     write_table(clean.open_bars(clean.log_returns(clean.filled(full)), run.zero_share), f"{out}/returns", ["date"])
@@ -56,13 +86,13 @@ def bars_to_panel(bars: DataFrame, dimension: DataFrame, out: str, run: Run = Ru
 
 def panel_to_models(panel: DataFrame, dimension: DataFrame, out: str, run: Run = Run()) -> DataFrame:
     """Three models over all windows, stopped by a fatal check, then losses and tests; returns the loss panel."""
-    tickers = variance.eligible(panel, dimension, run.market).persist()
+    tickers = variance.eligible(panel, dimension, run.market)
     stocks = panel.join(tickers, "ticker", "left_semi")
     outputs = {"HAR": rolling.har_forecasts(stocks, run.windows), "HAR-X": rolling.harx_forecasts(panel, tickers, run.windows), "RELATIVE": rolling.component_forecasts(panel, tickers, run.windows)}
     write_table(compare.loss_panel(outputs, dimension, run.rv_interval), f"{out}/loss_panel", ["training_window", "model"])
-    losses = compare.checked(panel.sparkSession.read.parquet(f"{out}/loss_panel"), list(outputs))
-    by_ticker = compare.ticker_losses(losses).persist()
-    write_table(by_ticker, f"{out}/ticker_losses")
+    losses = compare.checked(panel.sparkSession.read.parquet(f"{out}/loss_panel"), list(outputs), dimension, run.market)
+    write_table(compare.ticker_losses(losses), f"{out}/ticker_losses")
+    by_ticker = panel.sparkSession.read.parquet(f"{out}/ticker_losses")
     write_table(compare.overall_losses(by_ticker), f"{out}/overall_losses")
     write_table(compare.sector_losses(by_ticker), f"{out}/sector_losses")
     write_table(compare.reduction_table(compare.sector_losses(by_ticker), run.table_windows), f"{out}/loss_reduction")
@@ -73,12 +103,12 @@ def panel_to_models(panel: DataFrame, dimension: DataFrame, out: str, run: Run =
 
 def diagnose(panel: DataFrame, dimension: DataFrame, out: str, run: Run = Run()) -> None:
     """Forecastability of the components and the decomposition of the component model's error."""
-    tickers = variance.eligible(panel, dimension, run.market).persist()
+    tickers = variance.eligible(panel, dimension, run.market)
     write_table(diagnostics.r2_table(rolling.forecastability(panel, tickers, [run.diagnosis_window])), f"{out}/r2")
     r2 = panel.sparkSession.read.parquet(f"{out}/r2")
     write_table(diagnostics.component_summary(r2), f"{out}/r2_components")
     write_table(diagnostics.sector_comparison(diagnostics.paired(r2)), f"{out}/r2_sectors")
-    forecasts = rolling.component_forecasts(panel, tickers, [run.diagnosis_window]).persist()
+    forecasts = rolling.component_forecasts(panel, tickers, [run.diagnosis_window])
     write_table(diagnostics.error_decomposition(forecasts, panel), f"{out}/error_decomposition")
     write_table(diagnostics.decomposition_summary(panel.sparkSession.read.parquet(f"{out}/error_decomposition")), f"{out}/error_summary")
 
@@ -86,6 +116,7 @@ def diagnose(panel: DataFrame, dimension: DataFrame, out: str, run: Run = Run())
 def main(bars: str, dimension: str, out: str) -> None:
     spark = SparkSession.builder.appName("volpanel").getOrCreate()
     raw, dim = spark.read.parquet(bars), spark.read.parquet(dimension)
+    raw = import_bars(raw, dim, out) if "results" in raw.columns else raw
     one = first_bars(raw, ("ticker", "date", "m")) if "ingest_seq" in raw.columns else raw
     panel = bars_to_panel(one, dim, out)
     panel_to_models(panel, dim, out)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from volpanel.functions.columns import rounded
 from volpanel.operators import checks, compare, diagnostics, features, rolling, significance, variance
 
+from volpanel.sources.steps import stored
+
 from . import fixtures as fx
 
 WINDOWS = (60, 100)
@@ -28,12 +30,12 @@ def tickers(spark: SparkSession, sf: str, p: DataFrame) -> DataFrame:
 
 
 def losses(spark: SparkSession, sf: str) -> DataFrame:
-    """The three models' forecasts over all windows as a loss panel, kept: checks and tables read it several times."""
-    p = panel(spark, sf).persist()
+    """The three models' forecasts over all windows as a loss panel, stored: checks and tables read it several times."""
+    p = panel(spark, sf)
     t = tickers(spark, sf, p)
-    stocks = [r.ticker for r in fx.panel_dimension(spark, sf).select("ticker").collect()]  # the 25 nations
-    outputs = dict(zip(MODELS, (rolling.har_forecasts(p, WINDOWS, tickers=stocks), rolling.harx_forecasts(p, t, WINDOWS), rolling.component_forecasts(p, t, WINDOWS)), strict=True))
-    return compare.loss_panel(outputs, fx.panel_dimension(spark, sf), 30).persist()
+    stocks = p.join(fx.panel_dimension(spark, sf), "ticker", "left_semi")
+    outputs = dict(zip(MODELS, (rolling.har_forecasts(stocks, WINDOWS), rolling.harx_forecasts(p, t, WINDOWS), rolling.component_forecasts(p, t, WINDOWS)), strict=True))
+    return stored(compare.loss_panel(outputs, fx.panel_dimension(spark, sf), 30), "losses")
 
 
 def bad_benchmark_dates(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +124,7 @@ def dmw_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def _r2(spark: SparkSession, sf: str) -> DataFrame:
     p = panel(spark, sf)
-    return diagnostics.r2_table(rolling.forecastability(p, tickers(spark, sf, p), [BIG]))
+    return stored(diagnostics.r2_table(rolling.forecastability(p, tickers(spark, sf, p), [BIG])), "r2")
 
 
 def forecastability_r2(spark: SparkSession, sf: str) -> DataFrame:

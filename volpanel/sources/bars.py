@@ -31,7 +31,8 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exploded(payloads: DataFrame) -> DataFrame:
-    return payloads.select("ticker", F.explode("results").alias("r")).select("ticker", F.col("r.t").alias("t"), F.col("r.c").alias("close"))
+    """(ticker, t, close, ingest_seq): ingest_seq is the place in its payload."""
+    return payloads.select("ticker", F.posexplode("results").alias("ingest_seq", "r")).select("ticker", F.col("r.t").alias("t"), F.col("r.c").alias("close"), "ingest_seq")
 
 
 def in_session(hour: Column, minute: Column, start: tuple[int, int] = (9, 30), end_hour: int = 16) -> Column:
@@ -43,7 +44,7 @@ def session_bars(raw: DataFrame, zone: str = "America/New_York") -> DataFrame:
     """(ticker, ts, date, close): epoch milliseconds as wall-clock time of the exchange, regular session only."""
     local = F.from_utc_timestamp(F.timestamp_millis("t"), zone)
     bars = raw.withColumn("ts", local).where(in_session(F.hour("ts"), F.minute("ts")))
-    return bars.select("ticker", "ts", F.to_date("ts").alias("date"), "close")
+    return bars.select("ticker", "ts", F.to_date("ts").alias("date"), "close", *(c for c in ["ingest_seq"] if c in raw.columns))
 
 
 def universe(primary: DataFrame, fallback: DataFrame, least: int = 400, symbol: str = "symbol") -> DataFrame:
