@@ -1,5 +1,7 @@
 """Learned operators on held-out rows, and what they do with odd inputs."""
 
+import itertools
+
 import corpus_pipeline
 import numpy as np
 import pandas as pd
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from volpanel.llm import common, jaccard, quality, secret_scan, toxicity
 
 SF = "/root/testdata/sf0.01"
+PLAIN = "/root/testdata/sf0.001"
 
 
 def tables(spark):
@@ -103,3 +106,56 @@ def test_pipeline_stage_by_stage(spark):
 
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert all(list(r.ids) == library.encode(after[r.doc_id].text) for r in kept[5].collect())
+
+
+def test_quality_scores_equal_plain_ones(spark):
+    docs, labels = spark.read.parquet(f"{PLAIN}/documents.parquet"), spark.read.parquet(f"{PLAIN}/labels.parquet")
+    s = quality.Settings(sample_rows=150, steps=600)
+    model = quality.fit(docs, labels, settings=s)
+
+    def plain(text):
+        ids, last = [], None
+        for token in (text or "").split():
+            ids += quality.features(token, s.buckets, s.ngrams) + [s.repeated] * (s.repeat_weight if token == last else 0)
+            last = token
+        z = (model.vectors[ids].astype(np.float64).mean(0) if ids else np.zeros(s.dim)) @ model.out.astype(np.float64) + model.bias
+        return 1 / (1 + np.exp(z[0] - z[1]))
+
+    long = [(-1, "word " * 150_000), (-2, "x" * 400_000), (-3, None), (-4, "")]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(long, "doc_id long, text string"))
+    for r in quality.classify(rows, model).collect():
+        assert r.score == pytest.approx(plain(r.text), abs=1e-5)
+
+
+def test_toxicity_scores_equal_plain_ones(spark):
+    docs, labels = spark.read.parquet(f"{PLAIN}/documents.parquet"), spark.read.parquet(f"{PLAIN}/labels.parquet")
+    model = toxicity.fit(docs, labels, settings=toxicity.Settings(least_docs=2, least_evidence=1.0))
+    restorer = toxicity.Restorer(model.chars)
+
+    def plain(text):
+        words = set(toxicity.WORDS.findall(restorer.restore(text)))
+        found = set().union(*(toxicity.word_features(w, model.settings.ngrams) for w in words)) if words else set()
+        return 1 / (1 + np.exp(-np.clip(model.bias + sum(model.weights.get(f, 0) for f in sorted(found)), -60, 60)))
+
+    long = [(-1, "w0rd " * 100_000), (-2, "1d10t!" * 5_000), (-3, None), (-4, "")]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(long, "doc_id long, text string"))
+    for r in toxicity.classify(rows, model).collect():
+        assert r.score == pytest.approx(plain(r.text), abs=1e-9)
+
+
+def test_decode_equals_enumeration():
+    """The decoded string's best path is the best of all paths of a short lattice."""
+    rng = np.random.default_rng(5)
+    log = np.log(rng.dirichlet(np.ones(toxicity.SYMBOLS), toxicity.SYMBOLS**3)).astype(np.float32).ravel()
+    view = memoryview(np.ascontiguousarray(log))
+    for span, spaced in (("1d10t", False), ("h3llo", False), ("s.t.u.p", True), ("aaab!!", False), ("$6", False), ("b@@d", False)):
+        steps = list(toxicity.lattice(span, spaced))
+        best = {}
+        for path in itertools.product(*steps):
+            state, value = 0, sum(cost for _, _, cost in path)
+            for symbol in [c for _, codes, _ in path for c in codes] + [0]:
+                value += float(log[state * toxicity.SYMBOLS + symbol])
+                state = (state * toxicity.SYMBOLS + symbol) % toxicity.SYMBOLS**3
+            text = "".join(x for x, _, _ in path)
+            best[text] = max(value, best.get(text, -1e9))
+        assert best[toxicity.decode(steps, view)] == pytest.approx(max(best.values()), abs=1e-4)
