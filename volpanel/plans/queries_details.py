@@ -5,7 +5,7 @@ Faults are planted in the models' forecasts by the day of the target date, alike
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volpanel.functions.columns import rounded
@@ -14,18 +14,21 @@ from volpanel.operators import checks, rolling, significance
 from . import fixtures as fx
 from . import queries_panel as panels
 
-DAY = F.dayofmonth("target_date")
 KEYS = ["ticker", "forecast_origin_date", "target_date"]
 
 
+def day() -> Column:
+    return F.dayofmonth("target_date")
+
+
 def _har(spark: SparkSession, sf: str) -> DataFrame:
     return rolling.har_forecasts(panels.panel(spark, sf), (panels.BIG,)).select(*checks.REQUIRED)
 
 
 def _faulty(spark: SparkSession, sf: str) -> DataFrame:
     """No forecast on the 10th, a wrong qlike on the 5th, rows twice on the 7th."""
-    rows = _har(spark, sf).withColumn("forecast", F.when(DAY != 10, F.col("forecast"))).withColumn("qlike", F.when(DAY == 5, F.col("qlike") + 1).otherwise(F.col("qlike")))
-    return rows.withColumn("copy", F.explode(F.when(DAY == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
+    rows = _har(spark, sf).withColumn("forecast", F.when(day() != 10, F.col("forecast"))).withColumn("qlike", F.when(day() == 5, F.col("qlike") + 1).otherwise(F.col("qlike")))
+    return rows.withColumn("copy", F.explode(F.when(day() == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
 
 
 def forecast_types(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +64,7 @@ def universe_difference_rows(spark: SparkSession, sf: str) -> DataFrame:
 def mismatch_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the pairs whose actual value, in one model one higher on the 6th, differs between models."""
     by = ("training_window",)
-    moved = panels.losses(spark, sf).withColumn("actual", F.when((F.col("model") == "HAR-X") & (DAY == 6), F.col("actual") + 1).otherwise(F.col("actual")))
+    moved = panels.losses(spark, sf).withColumn("actual", F.when((F.col("model") == "HAR-X") & (day() == 6), F.col("actual") + 1).otherwise(F.col("actual")))
     return checks.mismatch_rows(moved, checks.presence(moved, panels.MODELS, by), len(panels.MODELS), 1e-6, by).select("training_window", "model", "ticker", "target_date", "actual").transform(rounded)
 
 
