@@ -92,6 +92,7 @@ def _text(label: str, value: Column) -> Column:
 
 def model_checks(summary: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
     """The check table of every model's summary; all of these are fatal."""
+    # fixed values: consumers find checks by these names
     zero = lambda n, name, label: (name, _status(F.col(n) == 0), "fatal", _text(label, F.col(n)))
     checks = [
         ("Required columns", F.lit("PASS"), "fatal", F.lit("All required columns are available.")),
@@ -196,6 +197,7 @@ def alignment_checks(forecasts: DataFrame, models: list[str], reference: str, to
     faulty = single.groupBy(*by).agg(n_if(faults > 0).alias("n_faulty_models"))
     parts = parts.join(faulty, key) if key else parts.crossJoin(faulty)  # one row each
     none = lambda c: F.col(c) == 0
+    # fixed values: consumers find checks by these names
     checks = [
         ("Individual model output checks", _status(none("n_faulty_models")), "fatal", _text("Models with faults", F.col("n_faulty_models"))),
         ("Same ticker universe", _status(none("n_ticker_differences")), "fatal", _text("Ticker differences", F.col("n_ticker_differences"))),
@@ -268,6 +270,7 @@ def metadata_checks(forecasts: DataFrame, dimension: DataFrame, market: str, wit
     for name, df in counts.items():
         total = total.crossJoin(df.agg(F.count("*").alias(name)))  # one row each
     none = lambda c: F.col(c) == 0
+    # fixed values: consumers find checks by these names
     checks = [
         ("Metadata available in at least one model", _status(F.col("n_models") > 0, "WARNING"), "warning", _text("Models with metadata columns", F.col("n_models"))),
         ("No missing metadata values", _status(none("n_missing")), "fatal", _text("Missing metadata values", F.col("n_missing"))),
