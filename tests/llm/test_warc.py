@@ -57,3 +57,22 @@ def test_revisits_of_one_id_with_two_payloads(spark):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archived_rows(pages, common.shared_path(spark, "archive")).collect() == []
+
+
+def test_extra_columns_of_clashing_names(spark):
+    rows = [(1, "u", "same", "x", 5, "y"), (2, "u", "same", "x", 6, "y"), (3, "u", "WARC/1.1\r\nother", "x", 7, "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, refers_to int, payload string")
+    got = warc.archived_rows(pages, common.shared_path(spark, "archive")).collect()
+    assert sorted(map(tuple, got), key=repr) == expected([r[:3] for r in rows])
+
+
+def test_one_record_over_many_splits(spark):
+    """A payload of version lines longer than a split: runs and owners are carried over blocks."""
+    rows = [(n, "u", f"{n} " + "WARC/1.1\r\nContent-Type: x\r\n" * (400 if n == 3 else 0) + "z" * 50 * n) for n in range(1, 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1100b")
+    try:
+        got = warc.archived_rows(pages, common.shared_path(spark, "archive")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, got), key=repr) == expected(rows)

@@ -6,7 +6,7 @@ every WARC record, so the part files are archives byte for byte and lie wherever
 
 Reading. The archives are read by splits of any size with the version line as the separator: each piece between two version
 lines is a candidate record, whose header, if it is one, tells where its successor must begin. Byte offsets are running
-sums of the pieces' lengths. A payload can hold version lines and whole headers too, so a candidate counts only if it is
+sums of the pieces' lengths: within a split, then over the splits of a file, one small row each. A payload can hold version lines and whole headers too, so a candidate counts only if it is
 reached from the file's start: runs of candidates that follow each other without another pointer leading into them are
 contracted to one pointer, and pointer jumping over those (each round doubles the distance) finds what the start reaches.
 Pieces of a record whose payload holds version lines are put together again.
@@ -18,10 +18,13 @@ an empty table gives an empty archive and an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -112,20 +115,34 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         _field(F.col("header"), "WARC-Type").alias("type"), _field(F.col("header"), "WARC-Record-ID").alias("id"),
         _field(F.col("header"), "WARC-Refers-To").alias("refers"), _field(F.col("header"), "WARC-Payload-Digest").alias("stated"),
     )
-    before = F.sum(F.col("bytes") + len(VERSION)).over(Window.partitionBy("file").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, -1))
-    placed = small.withColumn("at", before - len(VERSION)).where("at IS NOT NULL")  # what stands before a file's first version line is no record
+    placed = _running(stored(small, "pieces"), "at", F.sum, F.col("bytes") + len(VERSION), "place", -1).withColumn("at", F.coalesce("at", F.lit(0)) - len(VERSION))
+    placed = placed.where("at >= 0")  # what stands before a file's first version line is no record
     return placed.withColumn("next", F.when(F.col("content").isNotNull() & F.col("type").isNotNull(), F.col("at") + len(VERSION) + F.col("ahead") + F.col("content") + len(END)))
 
 
+def _running(rows: DataFrame, to: str, fold: Callable[[str], Column], value: Column, order: str, end: int = 0) -> DataFrame:
+    """rows with the column `to`: fold (F.sum, or F.max of growing values) of a file's rows up to each one, or with end -1 before it; null over none.
+
+    A task folds the rows of one block of a file; the folds of whole blocks, one small row each, are carried along the file.
+    """
+    rows = rows.withColumn("__value", value)
+    upto = Window.partitionBy("file", "block").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "block").agg(fold("__value").alias("__fold")).select("file", "block", fold("__fold").over(before).alias("__carried"))
+    within = rows.withColumn("__within", fold("__value").over(upto)).join(blocks, ["file", "block"])
+    both = F.coalesce(F.col("__within") + F.col("__carried"), "__within", "__carried") if fold is F.sum else F.coalesce("__within", "__carried")
+    return within.withColumn(to, both).drop("__value", "__within", "__carried")
+
+
 def reachable(found: DataFrame) -> DataFrame:
     """(file, at) of the candidates that lead on from the start of their file."""
-    by_file = Window.partitionBy("file").orderBy("at")
-    nodes = found.select("file", "at", "next", (F.lag("next").over(by_file) == F.col("at")).alias("follows"))
-    follows = F.coalesce("follows", F.lit(False))
-    # pointers that do not lead to the candidate behind: their targets begin runs of their own
-    far = nodes.withColumn("behind", F.lead("at").over(by_file)).where("next IS NOT NULL AND NOT next <=> behind").select("file", F.col("next").alias("at")).distinct().withColumn("entered", F.lit(True))
-    heads = nodes.withColumn("follows", follows).join(stored(far, "far"), ["file", "at"], "left").withColumn("head", ~F.col("follows") | F.col("entered").isNotNull())
-    runs = stored(heads.withColumn("run", F.max(F.when(F.col("head"), F.col("at"))).over(by_file)).select("file", "at", "next", "run"), "runs")
+    nodes = _running(found.select("file", "block", "at", "next"), "last", F.max, F.struct("at", "next"), "at", -1)
+    # candidates that several pointers lead to begin runs of their own
+    entered = found.where("next IS NOT NULL").groupBy("file", F.col("next").alias("at")).agg(F.count("*").alias("n")).where("n > 1")
+    follows = F.coalesce(F.col("last.next") == F.col("at"), F.lit(False))
+    heads = stored(nodes.join(stored(entered, "entered"), ["file", "at"], "left").select("file", "block", "at", "next", (~follows | F.col("n").isNotNull()).alias("head")), "heads")
+    runs = stored(_running(heads, "run", F.max, F.when(F.col("head"), F.col("at")), "at").select("file", "at", "next", "run"), "runs")
+    discard(heads)
     jumps = stored(runs.groupBy("file", "run").agg(F.max_by("next", "at").alias("to")).where("to IS NOT NULL"), "jumps")
     jumps = stored(jumps.join(jumps.select("file", F.col("run").alias("to")), ["file", "to"], "left_semi"), "jumps")
     reached = stored(runs.where("run = 0").select("file", "run").distinct(), "reached")
@@ -140,23 +157,41 @@ def reachable(found: DataFrame) -> DataFrame:
     return runs.join(reached, ["file", "run"]).select("file", "at")
 
 
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Files read inside are cut alike by every reading: without the setting, the cuts go by the cores that are there at the time."""
+    name = "spark.sql.files.minPartitionNum"
+    given = spark.conf.get(name, None)
+    spark.conf.set(name, given or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if given is None:
+            spark.conf.unset(name)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, type, refers_to, payload_bytes, digest, stated, file, at) of the archives' records; payload_bytes and digest are of what stands there."""
-    found = stored(candidates(spark, path), "candidates")
-    real = stored(reachable(found), "reachable")
-    rows = stored(found.join(real, ["file", "at"]), "records")
-    if not rows.where("NOT whole").isEmpty():
-        # pieces inside such a record belong to it: put them together and parse the result anew
-        marks = found.join(real.withColumn("real", F.lit(True)), ["file", "at"], "left")
-        owner = F.last(F.when(F.col("real"), F.struct("at", "whole")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
-        torn = stored(marks.withColumn("owner", owner).where("NOT owner.whole").select("file", "block", "place", "at", F.col("owner.at").alias("own")), "torn")
-        parts = pieces(spark, path).join(torn, ["file", "block", "place"]).groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("parts"))
-        joined = parsed(parts.select("file", F.col("own").alias("at"), F.array_join("parts.piece", VERSION).alias("piece")))
-        mended = joined.select("file", "at", F.col("payload_bytes").alias("__bytes"), F.col("digest").alias("__digest"))
-        rows = rows.join(stored(mended, "mended"), ["file", "at"], "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "__bytes")).withColumn("digest", F.coalesce("digest", "__digest"))
+    with _same_splits(spark):
+        found = stored(candidates(spark, path), "candidates")
+        real = stored(reachable(found), "reachable")
+        rows = stored(found.join(real, ["file", "at"]), "records")
+        if not rows.where("NOT whole").isEmpty():
+            rows = _mended(spark, path, found, real, rows)
     return rows.select(_page(F.col("id")).alias("page_id"), "type", _page(F.col("refers")).alias("refers_to"), "payload_bytes", "digest", F.regexp_replace("stated", "^sha1:", "").alias("stated"), "file", "at")
 
 
+def _mended(spark: SparkSession, path: str, found: DataFrame, real: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with the payloads of records whose pieces stand apart: pieces inside a record are put together and parsed anew."""
+    marks = found.select("file", "block", "place", "at", "whole").join(real.withColumn("real", F.lit(True)), ["file", "at"], "left")
+    owned = _running(marks, "owner", F.max, F.when(F.col("real"), F.struct("at", "whole")), "at")
+    torn = stored(owned.where("NOT owner.whole").select("file", "block", "place", "at", F.col("owner.at").alias("own")), "torn")
+    parts = pieces(spark, path).join(torn, ["file", "block", "place"]).groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("parts"))
+    joined = parsed(parts.select("file", F.col("own").alias("at"), F.array_join("parts.piece", VERSION).alias("piece")))
+    mended = stored(joined.select("file", "at", F.col("payload_bytes").alias("__bytes"), F.col("digest").alias("__digest")), "mended")
+    return rows.join(mended, ["file", "at"], "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "__bytes")).withColumn("digest", F.coalesce("digest", "__digest"))
+
+
 def archived_rows(pages: DataFrame, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as the contract of op6 names them: written, then read back."""
     write(pages.select("page_id", "url", "html"), path)
