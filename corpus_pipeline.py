@@ -2,7 +2,11 @@
 
 Stages: the quality classifier drops what it rejects; the n-gram Jaccard join keeps one document of each group; benchmark
 decontamination drops contaminated documents; secret scans replace secrets in the texts by marks; SentencePiece encodes.
-All but the last return the columns of documents. Trained models and the library's vocabulary have no SQL: tests hold the
+All but the last return the columns of documents.
+
+Defined results of every stage: an empty table gives an empty one; rows are judged one by one, so repeated rows and repeated
+or null ids keep their rows (but for near copies, of which one row stays); a null text counts as the empty one, is never
+contaminated, holds no secret and has no tokens; further columns pass through all stages but the last. Trained models and the library's vocabulary have no SQL: tests hold the
 stages to brute force.
 """
 
