@@ -159,3 +159,28 @@ def test_decode_equals_enumeration():
             text = "".join(x for x, _, _ in path)
             best[text] = max(value, best.get(text, -1e9))
         assert best[toxicity.decode(steps, view)] == pytest.approx(max(best.values()), abs=1e-4)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated rows, a further column, and no rows at all, by the stages that follow the classifier."""
+    words = " ".join(f"w{i}" for i in range(60))
+    item = common.read(spark, "/root/testdata/sf0.001", "benchmark").where("text IS NOT NULL").orderBy("item_id").first().text
+    texts = [(1, words), (1, words), (2, words + " more"), (None, words), (3, None), (4, ""), (5, ""), (6, f"{item} {item}"), (7, "my password = hunter2hunter2 here"), (None, "alone")]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 9) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, owner int")
+    rest = dict(corpus_pipeline.STAGES[1:])
+
+    def seen(name, df):
+        out = common.stored(rest[name](spark, df, "/root/testdata/sf0.001"), name)
+        assert out.columns == df.columns
+        return out, sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+    one, rows = seen("near_duplicates", given)
+    assert rows == sorted([(1, words), (3, None), (4, ""), (5, ""), (6, f"{item} {item}"), (7, texts[8][1]), (None, "alone")], key=repr)
+    clean, rows = seen("decontamination", one)
+    assert {i for i, _ in rows} == {1, 3, 4, 5, 7, None}
+    hidden, rows = seen("secrets", clean)
+    assert "hunter2" not in dict(rows)[7] and dict(rows)[3] is None and dict(rows)[1] == words
+    tokens = {r.doc_id: r.n_tokens for r in rest["tokens"](spark, hidden, "").collect()}
+    assert tokens[3] == tokens[4] == 0 and tokens[1] > 60 and len(tokens) == 6
+    for name in rest:
+        assert rest[name](spark, given.limit(0), "/root/testdata/sf0.001").collect() == []
