@@ -27,7 +27,7 @@ from .jaccard_sets import Words, digest, shingles
 #: Bits of a shingle's number; above them stands its count, up to MOST, so that numbers sort in the global order.
 BITS, MOST = 48, 32767
 #: Shingles that a task holds at once; sets, and documents.
-HELD, HELD_ROWS = 1 << 21, 60_000
+HELD, HELD_ROWS = 1 << 20, 60_000
 #: Held sets that may send a shingle one by one.
 FREQUENT = 16
 #: Bytes of text for each bucket; buckets of one pass.
