@@ -14,10 +14,6 @@ def by_day() -> WindowSpec:
     return Window.partitionBy("ticker", "date").orderBy("m")
 
 
-def by_series() -> WindowSpec:
-    return Window.partitionBy("ticker").orderBy("date", "m")
-
-
 def bounds(bars: DataFrame) -> DataFrame:
     return bars.agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
@@ -81,10 +77,20 @@ def ungapped(bars: DataFrame, days: DataFrame, big_gap: int = 10, most_share: fl
 
 
 def filled(panel: DataFrame) -> DataFrame:
-    """The last close carried forward over days; what is left at the head gets the ticker's first close."""
-    head = panel.groupBy("ticker").agg(F.min_by("close", F.when(F.col("close").isNotNull(), F.struct("date", "m"))).alias("__head"))
-    carried = panel.withColumn("close", F.last("close", ignorenulls=True).over(by_series().rowsBetween(Window.unboundedPreceding, 0)))
-    return carried.join(head, "ticker").withColumn("close", F.coalesce("close", "__head")).drop("__head")
+    """The last close carried forward over days; what is left at the head gets the ticker's first close.
+
+    Minutes are ordered within a ticker's month; over months one row each, with its last close, is carried along.
+    """
+    panel = panel.withColumn("__block", F.date_trunc("month", "date").cast("date"))
+    inside = Window.partitionBy("ticker", "__block").orderBy("date", "m").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col("close").isNotNull(), F.struct("date", "m"))
+    blocks = panel.groupBy("ticker", "__block").agg(F.max_by("close", known).alias("__last"), F.min_by("close", known).alias("__first"))
+    along = Window.partitionBy("ticker").orderBy("__block")
+    before = F.last("__last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    head = F.first("__first", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    blocks = blocks.select("ticker", "__block", F.coalesce(before, head).alias("__carried"))
+    carried = panel.withColumn("close", F.last("close", ignorenulls=True).over(inside)).join(blocks, ["ticker", "__block"])
+    return carried.withColumn("close", F.coalesce("close", "__carried")).select("ticker", "date", "m", "close")
 
 
 def price_counts(panel: DataFrame) -> DataFrame:

@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volpanel.functions.columns import finite
+from volpanel.functions.columns import all_finite, finite
 
 from .features import HAR, HARX, LAGS, component_rows, har_rows, harx_rows
 
 #: A regressor counts as dependent on those before it if this share of its length, or less, is new.
 DEPENDENT = 1e-7
+#: Below this share of unexplained variance a window of the decomposition is fitted on its own.
+NEAR = 1e-5
 IDS = "ticker string, sector string, sector_etf string, market_ticker string"
 KEYS = "training_window int, forecast_origin_date date, target_date date"
 
@@ -127,18 +129,24 @@ def window_decomposition(rows: DataFrame, length: int, least: int = 30) -> DataF
 
     Fund on market leaves the orthogonal fund component; stock on market and on it is, as they are orthogonal, two simple fits.
     """
-    frame = Window.partitionBy("ticker", "sector_etf").orderBy("date").rowsBetween(-(length - 1), 0)
+    series = Window.partitionBy("ticker", "sector_etf")
+    frame = series.orderBy("date").rowsBetween(-(length - 1), 0)
     over = lambda c: c.over(frame)
+    # the fund less what the market explains of it over the whole series, so that windows near dependence lose no digits
+    whole = F.coalesce(F.try_divide(F.covar_pop("s", "m").over(series), F.var_pop("m").over(series)), F.lit(0.0))
+    columns, rows = rows.columns, rows.withColumn("__whole", whole).withColumn("__fund", F.col("s"))
+    rows = rows.withColumn("__vf", over(F.var_pop("s"))).withColumn("s", F.col("s") - F.col("__whole") * F.col("m"))
     means = {v: over(F.avg(v)) for v in "yms"}
     vm, vs, sm, ym, ys = over(F.var_pop("m")), over(F.var_pop("s")), over(F.covar_pop("s", "m")), over(F.covar_pop("y", "m")), over(F.covar_pop("y", "s"))
     df = rows.select("*", over(F.count("*")).alias("n_decomposition_obs"), *(v.alias(f"__{k}") for k, v in means.items()), *(v.alias(n) for n, v in {"__vm": vm, "__vs": vs, "__sm": sm, "__ym": ym, "__ys": ys}.items()))
     c1, left = F.try_divide("__sm", "__vm"), F.col("__vs") - F.try_divide(F.col("__sm") * F.col("__sm"), F.col("__vm"))
-    df = df.withColumn("sector_beta_market_hat", c1).withColumn("sector_intercept_hat", F.col("__s") - c1 * F.col("__m")).withColumn("beta_market_hat", F.try_divide("__ym", "__vm"))
+    df = df.withColumn("sector_beta_market_hat", c1 + F.col("__whole")).withColumn("sector_intercept_hat", F.col("__s") - c1 * F.col("__m")).withColumn("beta_market_hat", F.try_divide("__ym", "__vm"))
     df = df.withColumn("alpha_hat", F.col("__y") - F.col("beta_market_hat") * F.col("__m"))
-    df = df.withColumn("beta_sector_hat", F.when(left > 1e-14 * F.col("__vs"), F.try_divide(F.col("__ys") - c1 * F.col("__ym"), left)))
+    df = df.withColumn("beta_sector_hat", F.when(left > 1e-14 * F.col("__vf"), F.try_divide(F.col("__ys") - c1 * F.col("__ym"), left)))
     names = ["alpha_hat", "beta_market_hat", "beta_sector_hat", "sector_intercept_hat", "sector_beta_market_hat"]
     ok = (F.col("n_decomposition_obs") == length) & (F.col("n_decomposition_obs") >= least) & finite("beta_sector_hat") & finite("sector_beta_market_hat") & finite("beta_market_hat")
-    return df.select(*rows.columns, "n_decomposition_obs", *(F.when(ok, F.col(n)).alias(n) for n in names))
+    df = df.withColumn("s", F.col("__fund"))
+    return df.select(*columns, "n_decomposition_obs", *(F.when(ok, F.col(n)).alias(n) for n in names))
 
 
 COMPONENTS = ("stock_log_rv", "market_log_rv", "sector_etf_log_rv", "sector_perp", "relative_q")
@@ -151,6 +159,12 @@ def _trailing(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _moving_variance(x: np.ndarray, n: int) -> np.ndarray:
+    """n times the variance of the n values up to each, NaN before."""
+    mean, square = _trailing(x, n), _trailing(x * x, n)
+    return n * np.maximum(square - mean * mean, 0)
+
+
 def _refitted(series: np.ndarray, lags: tuple[int, ...]) -> float:
     """One-step forecast of a window's series by least squares; NaN if a regressor depends on earlier ones."""
     longest = max(lags)
@@ -172,6 +186,12 @@ def component_paths(y: np.ndarray, m: np.ndarray, s: np.ndarray, window: int, la
         return {}
     mean = np.array([m.mean(), s.mean(), y.mean()])
     base = np.column_stack([m, s, y]) - mean
+    # the fund less what the market explains of it over the whole series: windows lose no digits where the fund is nearly a line in the market
+    spread = float(base[:, 0] @ base[:, 0])
+    whole = float(base[:, 1] @ base[:, 0]) / spread if spread > 0 else 0.0
+    fund_variance = _moving_variance(base[:, 1], raw)[origins]
+    base[:, 1] -= whole * base[:, 0]
+    base[:, 1] -= base[:, 1].mean()
     # the decomposition, from sums over the raw window
     r = running(np.column_stack([np.ones(n), base]))
     g = r[origins + 1] - r[origins + 1 - raw]
@@ -182,7 +202,15 @@ def component_paths(y: np.ndarray, m: np.ndarray, s: np.ndarray, window: int, la
         c1, bm = sm / vm, ym / vm
         left = vs - c1 * sm
         bs = (ys - c1 * ym) / left
-        ok = (vm > 0) & (left > 1e-14 * vs) & np.isfinite(bs)
+        ok = (vm > 0) & (left > 1e-14 * fund_variance) & np.isfinite(bs)
+    for k in np.flatnonzero((vm > 0) & (left < NEAR * vs)):  # near dependence in this window alone: fitted on its own
+        part = base[origins[k] + 1 - raw : origins[k] + 1]
+        part = part - part.mean(0)
+        c1[k] = part[:, 1] @ part[:, 0] / (part[:, 0] @ part[:, 0])
+        perp = part[:, 1] - c1[k] * part[:, 0]
+        left[k] = perp @ perp
+        ok[k] = left[k] > 1e-14 * fund_variance[k]
+        bs[k] = part[:, 2] @ perp / left[k] if ok[k] else np.nan
     c0, a = mu[:, 1] - c1 * mu[:, 0], mu[:, 2] - bm * mu[:, 0]
     # basic numbers of a target row: 1, then target and three trailing means before it, of market, fund and stock
     z = np.ones((n, 13))
@@ -201,7 +229,7 @@ def component_paths(y: np.ndarray, m: np.ndarray, s: np.ndarray, window: int, la
     zero = np.zeros(len(origins))
     shift = {"stock_log_rv": zero, "market_log_rv": zero, "sector_etf_log_rv": zero, "sector_perp": -c0, "relative_q": -(a - bs * c0)}
     mix = {
-        "stock_log_rv": (zero, zero, zero + 1), "market_log_rv": (zero + 1, zero, zero), "sector_etf_log_rv": (zero, zero + 1, zero),
+        "stock_log_rv": (zero, zero, zero + 1), "market_log_rv": (zero + 1, zero, zero), "sector_etf_log_rv": (zero + whole, zero + 1, zero),
         "sector_perp": (-c1, zero + 1, zero), "relative_q": (-(bm - bs * c1), -bs, zero + 1),
     }
     ahead = base[origins + 1]
@@ -231,8 +259,8 @@ def component_paths(y: np.ndarray, m: np.ndarray, s: np.ndarray, window: int, la
             out[name][k] = _refitted(part @ np.array([w[k] for w in weights]) + constant[k] + level[name], lags)
         out[f"{name}_actual"] = value(ahead) + level[name]
         out[f"{name}_baseline"] = value(recent) + level[name]
-    out |= {"beta_market_hat": bm, "beta_sector_hat": bs, "sector_beta_market_hat": c1}
-    out["sector_intercept_hat"] = c0 + mean[1] - c1 * mean[0]
+    out |= {"beta_market_hat": bm, "beta_sector_hat": bs, "sector_beta_market_hat": c1 + whole}
+    out["sector_intercept_hat"] = c0 + mean[1] - (c1 + whole) * mean[0]
     out["alpha_hat"] = a + mean[2] - bm * mean[0]
     return out
 
@@ -240,56 +268,55 @@ def component_paths(y: np.ndarray, m: np.ndarray, s: np.ndarray, window: int, la
 COEFFICIENTS = ("alpha_hat", "beta_market_hat", "beta_sector_hat", "sector_intercept_hat", "sector_beta_market_hat")
 
 
-def component_forecasts(panel: DataFrame, tickers: DataFrame, windows: Iterable[int], lags: tuple[int, ...] = LAGS, least: int = 30) -> DataFrame:
-    """Market, orthogonal fund and residual forecast apart and put together again; with coefficients and counts of rows."""
-    sizes = windows_of(windows)
-    counts = ("n_decomposition_obs", "n_market_har_obs", "n_sector_har_obs", "n_relative_har_obs")
-    schema = f"{IDS}, {KEYS}, actual double, forecast double, market_forecast double, sector_perp_forecast double, q_forecast double, {', '.join(f'{c} double' for c in COEFFICIENTS)}, {', '.join(f'{c} int' for c in counts)}"
+def component_fits(panel: DataFrame, tickers: DataFrame, windows: Iterable[int], lags: tuple[int, ...] = LAGS, least: int = 30, longest: int | None = None) -> DataFrame:
+    """One row per origin with all that the two runs over components want: every window of a ticker is fitted here and nowhere else.
+
+    (IDS, KEYS, actual, forecast, actual and baseline of each component, coefficients). A window has `longest` rows more than it trains on.
+    """
+    sizes, more = windows_of(windows), lags[2] if longest is None else longest
+    numbers = [f"{c}_{x}" for c in COMPONENTS for x in ("forecast", "actual", "baseline")]
+    schema = f"{IDS}, {KEYS}, n_decomposition_obs int, actual double, {', '.join(f'{c} double' for c in (*numbers, *COEFFICIENTS))}"
     columns = [part.split()[0] for part in schema.split(", ")]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date", ignore_index=True)
         out = []
         for w in sizes:
-            raw = w + lags[2]
-            found = component_paths(*(pdf[c].to_numpy(float) for c in "yms"), w, lags, raw, least)
-            if not found:
-                continue
-            at, ahead = pdf.iloc[found["origin"]].reset_index(drop=True), pdf.iloc[found["origin"] + 1].reset_index(drop=True)
-            market, perp, q = found["market_log_rv"], found["sector_perp"], found["relative_q"]
-            forecast = found["alpha_hat"] + found["beta_market_hat"] * market + found["beta_sector_hat"] * perp + q
-            frame = at[["ticker", "sector", "sector_etf", "market_ticker"]].assign(
-                training_window=w, forecast_origin_date=at["date"], target_date=ahead["date"], actual=ahead["y"], forecast=forecast, market_forecast=market, sector_perp_forecast=perp, q_forecast=q,
-                **{c: found[c] for c in COEFFICIENTS}, n_decomposition_obs=raw, n_market_har_obs=w, n_sector_har_obs=w, n_relative_har_obs=w,
-            )
-            out.append(frame[np.isfinite(forecast)])
+            found = component_paths(*(pdf[c].to_numpy(float) for c in "yms"), w, lags, w + more, least)
+            if found:
+                at, ahead = pdf.iloc[found["origin"]].reset_index(drop=True), pdf.iloc[found["origin"] + 1].reset_index(drop=True)
+                values = {f"{c}_{x}": found[c + y] for c in COMPONENTS for x, y in (("forecast", ""), ("actual", "_actual"), ("baseline", "_baseline"))}
+                out.append(at[["ticker", "sector", "sector_etf", "market_ticker"]].assign(
+                    training_window=w, forecast_origin_date=at["date"], target_date=ahead["date"], n_decomposition_obs=w + more, actual=ahead["y"], **values, **{c: found[c] for c in COEFFICIENTS}
+                ))
         return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
-    return with_losses(component_rows(panel, tickers).groupBy("ticker", "sector_etf").applyInPandas(fit, schema))
+    return component_rows(panel, tickers).groupBy("ticker", "sector_etf").applyInPandas(fit, schema)
 
 
-def forecastability(panel: DataFrame, tickers: DataFrame, windows: Iterable[int], lags: tuple[int, ...] = LAGS, least: int = 30) -> DataFrame:
-    """Five rows per origin: each component's forecast against its rolling mean; an origin stays if all five are finite."""
-    sizes = windows_of(windows)
-    schema = f"{IDS}, component string, {KEYS}, actual double, forecast double, baseline_forecast double"
-    columns = [part.split()[0] for part in schema.split(", ")]
+def forecasts_of(fits: DataFrame) -> DataFrame:
+    """Market, orthogonal fund and residual forecast of component_fits put together again; with coefficients and counts of rows."""
+    parts = {"market_forecast": "market_log_rv_forecast", "sector_perp_forecast": "sector_perp_forecast", "q_forecast": "relative_q_forecast"}
+    forecast = F.col("alpha_hat") + F.col("beta_market_hat") * F.col(parts["market_forecast"]) + F.col("beta_sector_hat") * F.col("sector_perp_forecast") + F.col(parts["q_forecast"])
+    keys = [part.split()[0] for part in f"{IDS}, {KEYS}".split(", ")]
+    rows = fits.withColumn("forecast", forecast).where(finite("forecast"))
+    counts = [F.col("training_window").alias(f"n_{c}_har_obs") for c in ("market", "sector", "relative")]
+    return with_losses(rows.select(*keys, "actual", "forecast", *(F.col(c).alias(n) for n, c in parts.items()), *COEFFICIENTS, "n_decomposition_obs", *counts))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", ignore_index=True)
-        out = []
-        for w in sizes:
-            found = component_paths(*(pdf[c].to_numpy(float) for c in "yms"), w, lags, w + max(lags), least)
-            if not found:
-                continue
-            whole = np.isfinite(np.column_stack([found[c + x] for c in COMPONENTS for x in ("", "_actual", "_baseline")])).all(1)
-            at, ahead = pdf.iloc[found["origin"]].reset_index(drop=True), pdf.iloc[found["origin"] + 1].reset_index(drop=True)
-            for c in COMPONENTS:
-                frame = at[["ticker", "sector", "sector_etf", "market_ticker"]].assign(
-                    component=c, training_window=w, forecast_origin_date=at["date"], target_date=ahead["date"], actual=found[f"{c}_actual"], forecast=found[c], baseline_forecast=found[f"{c}_baseline"]
-                )
-                out.append(frame[whole])
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
-    rows = component_rows(panel, tickers).groupBy("ticker", "sector_etf").applyInPandas(fit, schema)
+def forecastability_of(fits: DataFrame) -> DataFrame:
+    """Five rows per origin of component_fits: each component's forecast against its rolling mean; an origin stays if all five are finite."""
+    every = [f"{c}_{x}" for c in COMPONENTS for x in ("actual", "forecast", "baseline")]
+    ids, keys = ([part.split()[0] for part in p.split(", ")] for p in (IDS, KEYS))
+    one = F.array(*(F.struct(F.lit(c).alias("component"), F.col(f"{c}_actual").alias("actual"), F.col(f"{c}_forecast").alias("forecast"), F.col(f"{c}_baseline").alias("baseline_forecast")) for c in COMPONENTS))
+    rows = fits.where(all_finite(every)).select(*ids, *keys, F.explode(one).alias("x")).select(*ids, "x.component", *keys, "x.actual", "x.forecast", "x.baseline_forecast")
     square = lambda c: F.pow(F.col("actual") - F.col(c), 2)
     return rows.withColumn("squared_error_har", square("forecast")).withColumn("squared_error_baseline", square("baseline_forecast"))
+
+
+def component_forecasts(panel: DataFrame, tickers: DataFrame, windows: Iterable[int], lags: tuple[int, ...] = LAGS, least: int = 30) -> DataFrame:
+    return forecasts_of(component_fits(panel, tickers, windows, lags, least))
+
+
+def forecastability(panel: DataFrame, tickers: DataFrame, windows: Iterable[int], lags: tuple[int, ...] = LAGS, least: int = 30) -> DataFrame:
+    return forecastability_of(component_fits(panel, tickers, windows, lags, least, max(lags)))

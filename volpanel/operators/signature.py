@@ -29,15 +29,19 @@ def day_variances(returns: np.ndarray, intervals: list[int], partial: bool) -> l
 
 
 def daily_signature(returns: DataFrame, intervals: list[int], partial: bool = True) -> DataFrame:
-    """(ticker, date, interval_minutes, rv, n_blocks). One array a ticker-day goes to a helper, instead of each return to every interval."""
+    """(ticker, date, interval_minutes, rv, n_blocks). One array a ticker-day goes to a helper, instead of each return to every interval.
+
+    returns are rows (ticker, date, m, r), or days (ticker, date, rs) whose finite returns are already one array.
+    """
 
     @F.pandas_udf(DAILY)
     def variances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for days in batches:
             yield pd.Series([[{"interval_minutes": k, "rv": rv, "n_blocks": n} for k, rv, n in day_variances(np.asarray(d, float), intervals, partial)] for d in days], dtype=object)
 
-    one = returns.groupBy("ticker", "date").agg(F.sort_array(F.collect_list(F.when(finite("r"), F.struct("m", "r")))).alias("rs"))
-    rows = one.select("ticker", "date", F.explode(variances(F.col("rs.r"))).alias("v"))
+    rs = F.sort_array(F.collect_list(F.when(finite("r"), F.struct("m", "r"))))["r"].alias("rs")
+    one = returns if "rs" in returns.columns else returns.groupBy("ticker", "date").agg(rs)
+    rows = one.select("ticker", "date", F.explode(variances(F.col("rs"))).alias("v"))
     return rows.select("ticker", "date", "v.interval_minutes", "v.rv", "v.n_blocks")
 
 

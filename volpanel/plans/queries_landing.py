@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volpanel.functions.columns import rounded
-from volpanel.operators import clean
+from volpanel.operators import clean, series
 from volpanel.sources import bars as landing
+from volpanel.sources.steps import stored
 
 from . import fixtures as fx
 
@@ -70,9 +71,9 @@ def missing_series(spark: SparkSession, sf: str) -> DataFrame:
 
 def sample_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Bounds of the sample and counts of faulty prices on the grid."""
-    t = fx.ticks(spark, sf)
-    full = clean.check_grid(clean.grid(fx.days(t), fx.PER_DAY), fx.PER_DAY)
-    return clean.bounds(t).crossJoin(clean.price_counts(clean.aligned(t, full, t)))  # one row each
+    seen = stored(series.observed(fx.ticks(spark, sf)), "ticker-days")
+    full = series.check_days(series.opened(seen, seen, seen, fx.PER_DAY), seen)
+    return clean.bounds(seen).crossJoin(series.price_counts(full, fx.PER_DAY))  # one row each
 
 
 _FUNDS = ", ".join(f"({i}, '{s}', '{e}')" for i, (s, e) in enumerate(landing.SECTOR_FUNDS))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volpanel.functions.columns import rounded
-from volpanel.operators import clean, signature, variance
+from volpanel.operators import clean, series, signature
 from volpanel.sources import bars as landing
+from volpanel.sources.steps import stored
 
 from . import fixtures as fx
 
@@ -15,9 +16,23 @@ K, LEAST_BLOCKS = 3, 2
 INTERVALS, PLATEAU, LEAST_DAYS = list(range(1, 9)), (4, 8), 10
 
 
+def ticks(spark: SparkSession, sf: str) -> DataFrame:
+    """The stand-in's bars, stored: events are scanned once, however often days and tickers are asked for."""
+    return stored(fx.ticks(spark, sf), "ticks")
+
+
+def opened(spark: SparkSession, sf: str) -> DataFrame:
+    """All ticker-days with their bars and what they open with."""
+    seen = stored(series.observed(fx.ticks(spark, sf)), "ticker-days")
+    return series.opened(seen, seen, seen, fx.PER_DAY)
+
+
 def returns(spark: SparkSession, sf: str) -> DataFrame:
-    t = fx.ticks(spark, sf)
-    return clean.log_returns(clean.filled(clean.aligned(t, clean.grid(fx.days(t), fx.PER_DAY), t)))
+    return series.with_returns(opened(spark, sf), fx.PER_DAY)
+
+
+def days(spark: SparkSession, sf: str) -> DataFrame:
+    return series.day_returns(returns(spark, sf))
 
 
 def session_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,44 +61,60 @@ def wide_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grid_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    t = fx.ticks(spark, sf)
+    t = ticks(spark, sf)
     return clean.coverage(t, fx.days(t), fx.PER_DAY).transform(rounded)
 
 
 def gap_stats(spark: SparkSession, sf: str) -> DataFrame:
-    t = fx.ticks(spark, sf)
+    t = ticks(spark, sf)
     return clean.gap_stats(clean.day_gaps(t, fx.days(t)), 2).transform(rounded)
 
 
 def filter_universe(spark: SparkSession, sf: str) -> DataFrame:
-    t = fx.ticks(spark, sf)
-    d = fx.days(t)
-    return clean.ungapped(clean.covered(t, d, fx.PER_DAY, 0.82), d, 2, 0.5, 4).groupBy("ticker").agg(F.count("*").alias("n"))
+    t = ticks(spark, sf)
+    d = stored(fx.days(t), "days")
+    kept = stored(clean.covered(t, d, fx.PER_DAY, 0.82), "covered")
+    return clean.ungapped(kept, d, 2, 0.5, 4).groupBy("ticker").agg(F.count("*").alias("n"))
 
 
 def fill_prices(spark: SparkSession, sf: str) -> DataFrame:
-    t = fx.ticks(spark, sf)
+    return series.filled(opened(spark, sf), fx.PER_DAY).transform(rounded)
+
+
+def fill_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a panel that has a row for every minute."""
+    t = ticks(spark, sf)
     return clean.filled(clean.aligned(t, clean.grid(fx.days(t), fx.PER_DAY), t)).transform(rounded)
 
 
 def log_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return returns(spark, sf).transform(rounded)
+    return series.long_returns(returns(spark, sf)).transform(rounded)
+
+
+def zero_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return series.zero_shares(returns(spark, sf), fx.PER_DAY).transform(rounded)
 
 
 def early_close(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.renumbered(clean.open_bars(returns(spark, sf), 0.3)).transform(rounded)
+    return series.open_returns(series.opened_market(stored(returns(spark, sf), "returns"), fx.PER_DAY, 0.3)).transform(rounded)
 
 
 def interval_rv(spark: SparkSession, sf: str) -> DataFrame:
-    return variance.interval_variance(returns(spark, sf), K, True).transform(rounded)
+    return series.interval_variance(days(spark, sf), K, True).transform(rounded)
 
 
 def daily_log_rv(spark: SparkSession, sf: str) -> DataFrame:
-    return variance.daily_log_rv(returns(spark, sf), K, False, LEAST_BLOCKS).transform(rounded)
+    return series.daily_log_rv(days(spark, sf), K, False, LEAST_BLOCKS).transform(rounded)
+
+
+def open_log_rv(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily log variances of the returns that early closes leave."""
+    left = series.opened_market(stored(returns(spark, sf), "returns"), fx.PER_DAY, 0.3)
+    return series.daily_log_rv(series.day_returns(left), K, False, LEAST_BLOCKS).transform(rounded)
 
 
 def _by(spark: SparkSession, sf: str) -> DataFrame:
-    return signature.signature(returns(spark, sf), INTERVALS, least_days=LEAST_DAYS)
+    return signature.signature(days(spark, sf), INTERVALS, least_days=LEAST_DAYS)
 
 
 def _ratios(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,6 +190,18 @@ ORACLE_SQL = {
         more={"kept": f"SELECT * FROM ticks WHERE ticker IN (SELECT ticker FROM ticks GROUP BY 1 HAVING count(*) / ((SELECT count(*) FROM days) * {fx.PER_DAY}) >= 0.82)", "gaps": _GAPS.format(src="kept"), "stats": _STATS},
     ),
     "fill_prices": fx.sql(f"SELECT ticker, date, m, {_R('close', 'close')} FROM filled", "filled"),
+    "fill_panel": fx.sql(f"SELECT ticker, date, m, {_R('close', 'close')} FROM filled", "filled"),
+    "zero_shares": fx.sql(f"SELECT date, m, {_R('count(*) FILTER (r = 0) / nullif(count(r), 0)', 'zero_share')} FROM rets GROUP BY 1, 2", "rets"),
+    "open_log_rv": fx.sql(
+        f"""SELECT ticker, date, {_R(f'CASE WHEN count(block) >= {LEAST_BLOCKS} AND sum(r * r) > 0 THEN ln(sum(r * r)) END', 'log_rv')}
+            FROM (SELECT DISTINCT ticker, date FROM rets) LEFT JOIN (SELECT * FROM blocks WHERE n = {K}) USING (ticker, date) GROUP BY 1, 2""",
+        "rets",
+        more={
+            "shut": "SELECT date, m FROM rets GROUP BY 1, 2 HAVING count(r) > 0 AND count(*) FILTER (r = 0) / nullif(count(r), 0) > 0.3",
+            "numbered": _NUMBERED.replace("FROM rets WHERE", "FROM rets WHERE (date, m) NOT IN (SELECT (date, m) FROM shut) AND"),
+            "blocks": _BLOCKS,
+        },
+    ),
     "log_returns": fx.sql(f"SELECT ticker, date, m, {_R('r', 'r')} FROM rets", "rets"),
     "early_close": fx.sql(
         f"SELECT ticker, date, m, {_R('r', 'r')}, CAST(dense_rank() OVER (PARTITION BY date ORDER BY m) AS INTEGER) AS k FROM rets WHERE (date, m) NOT IN (SELECT (date, m) FROM shut)",
