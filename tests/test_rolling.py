@@ -1,8 +1,13 @@
 """Rolling helpers against a fit of every window on its own."""
 
+import datetime as dt
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from volpanel.functions.columns import normal_cdf
 from volpanel.operators import rolling
 
 LAGS = (1, 5, 22)
@@ -79,3 +84,37 @@ def test_smooth_series_keep_every_origin(noise):
         assert found["market_log_rv"][k] == pytest.approx(one_step(m[part]), abs=1e-7)
         assert found["sector_etf_log_rv"][k] == pytest.approx(one_step(s[part]), abs=1e-7)
         assert found["stock_log_rv"][k] == pytest.approx(one_step(y[part]), abs=1e-9)
+
+
+@pytest.mark.parametrize("noise", [1e-1, 1e-4, 1e-5, 1e-6])
+def test_fund_that_is_nearly_a_line_in_the_market(spark, noise):
+    """Coefficients equal a fit of each window however little of the fund the market leaves, in the helper and in built-in functions."""
+    rng, n, window = np.random.default_rng(0), 400, 100
+    m = -9 + 0.05 * np.cumsum(rng.normal(size=n)) + 0.3 * rng.normal(size=n)
+    s = 0.3 + 0.8 * m + noise * rng.normal(size=n)
+    y = 0.1 + 0.5 * m + 0.7 * s + 0.4 * rng.normal(size=n)
+    raw = window + 22
+    found = rolling.component_paths(y, m, s, window, (1, 5, 22), raw, 30)
+    rows = [("T", "A", "F", "M", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(y[i]), float(m[i]), float(s[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "ticker string, sector string, sector_etf string, market_ticker string, date date, y double, m double, s double")
+    built_in = {r.date: r for r in rolling.window_decomposition(df, raw).collect()}
+    assert len(found["origin"]) == n - raw
+    for i, o in enumerate(found["origin"]):
+        part = slice(o + 1 - raw, o + 1)
+        mm, ss, yy = (v[part].astype(np.longdouble) - v[part].astype(np.longdouble).mean() for v in (m, s, y))
+        c1 = ss @ mm / (mm @ mm)
+        perp = ss - c1 * mm
+        bs = yy @ perp / (perp @ perp)
+        row = built_in[dt.date(2020, 1, 1) + dt.timedelta(days=int(o))]
+        for got in (found["beta_sector_hat"][i], row.beta_sector_hat):
+            assert abs(got - bs) <= (1e-8 if noise >= 1e-5 else 1e-6) * max(1, abs(bs))
+        assert abs(found["sector_beta_market_hat"][i] - c1) <= 1e-10 and abs(row.sector_beta_market_hat - c1) <= 1e-10 and row.s == s[o]
+
+
+def test_normal_distribution(spark):
+    z = [-40.0, -9.0, -3.0, -2.83, -2.82, -1.0, -1e-9, 0.0, 1e-3, 0.5, 1.96, 2.82, 2.83, 3.0, 6.0, 12.0, float("inf"), float("-inf"), None, float("nan")]
+    df = spark.createDataFrame([(x,) for x in z], "z double").select(normal_cdf(F.col("z")))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for x, (got,) in zip(z, df.collect(), strict=True):
+        want = None if x is None or x != x else 0.5 * math.erfc(-x / math.sqrt(2))
+        assert got is None if want is None else abs(got - want) <= 1e-15 + 1e-12 * want

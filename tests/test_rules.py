@@ -124,3 +124,11 @@ def test_constant_and_single_differences_are_invalid(spark):
     cols = "training_window int, benchmark_model string, relative_model string, metric string, metric_column string, ticker string, sector string, target_date date, benchmark_loss double, relative_loss double, difference double"
     out = significance.stock_tests(spark.createDataFrame(data, cols))
     assert rows(out, "ticker", "test_result", "test_status", "dmw_stat") == [("flat", "invalid_variance", "invalid", None), ("one", "invalid_variance", "invalid", None)]
+
+
+def test_planted_metadata_faults_are_seen(spark):
+    """Every check that a fault is planted for fails, and only these."""
+    from volpanel.plans import queries_faults
+
+    status = {r.check_name: r.status for r in queries_faults.planted_metadata_checks(spark, "/root/testdata/sf0.01").collect()}
+    assert status.pop("Metadata available in at least one model") == "PASS" and set(status.values()) == {"FAIL"}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.functions.columns import all_finite, any_of, blank, clean, n_if, require
+from volpanel.sources.steps import stored
 
 NUMBERS = ("actual", "forecast", "error", "squared_error", "absolute_error", "qlike")
 REQUIRED = ("ticker", "forecast_origin_date", "target_date", *NUMBERS)
@@ -95,11 +96,11 @@ def model_checks(summary: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFr
     # fixed values: consumers find checks by these names
     zero = lambda n, name, label: (name, _status(F.col(n) == 0), "fatal", _text(label, F.col(n)))
     checks = [
-        ("Required columns", F.lit("PASS"), "fatal", F.lit("All required columns are available.")),
-        zero("n_missing_key_rows", "Missing key values", "Rows with missing ticker or date keys"),
-        zero("n_nonfinite_rows", "Finite numerical values", "Rows with non-finite core numerical values"),
-        zero("n_duplicate_pairs", "Duplicated ticker-date pairs", "Duplicated ticker-target-date pairs"),
-        zero("n_invalid_date_order", "Forecast origin before target date", "Rows with an origin not before the target date"),
+        ("Required columns", F.lit("PASS"), "fatal", F.lit("Columns all there")),
+        zero("n_missing_key_rows", "Missing key values", "Rows lacking a key"),
+        zero("n_nonfinite_rows", "Finite numerical values", "Rows with a number that is not finite"),
+        zero("n_duplicate_pairs", "Duplicated ticker-date pairs", "Pairs met more than once"),
+        zero("n_invalid_date_order", "Forecast origin before target date", "Rows whose origin is no earlier than the target"),
         zero("n_error_mismatch", "Error identity", "Error mismatches"),
         zero("n_squared_error_mismatch", "Squared error identity", "Squared error mismatches"),
         zero("n_absolute_error_mismatch", "Absolute error identity", "Absolute error mismatches"),
@@ -112,10 +113,10 @@ def model_checks(summary: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFr
 
 
 def presence(forecasts: DataFrame, models: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """A row per (by, ticker, target_date): which models have it, and the ranges of actual and origin over them."""
-    has = [n_if(F.col("model") == m).cast("boolean").alias(f"in_{i}") for i, m in enumerate(models)]
+    """A row per (by, ticker, target_date): which models have it, once or more, and the ranges of actual and origin over them."""
+    n = [n_if(F.col("model") == m) for m in models]
     return forecasts.groupBy(*by, *PAIR).agg(
-        *has, F.count_distinct("model").alias("n_models"), (F.max(clean("actual")) - F.min(clean("actual"))).alias("actual_range"),
+        *(c.cast("boolean").alias(f"in_{i}") for i, c in enumerate(n)), *((c > 1).alias(f"again_{i}") for i, c in enumerate(n)), F.count_distinct("model").alias("n_models"), (F.max(clean("actual")) - F.min(clean("actual"))).alias("actual_range"),
         F.datediff(F.max("forecast_origin_date"), F.min("forecast_origin_date")).alias("origin_range_days"),
     )
 
@@ -189,12 +190,22 @@ def alignment_facts(seen: DataFrame, models: list[str], reference: str, toleranc
     return facts.withColumn("common_panel_balanced", F.col("n_common_pairs") == F.col("expected_common_pairs"))
 
 
-def alignment_checks(forecasts: DataFrame, models: list[str], reference: str, tolerance: float = 1e-10, by: tuple[str, ...] = ()) -> DataFrame:
-    """The check table over all models; differing origins and an unbalanced panel only warn."""
-    key, parts = list(by), alignment_facts(presence(forecasts, models, by), models, reference, tolerance, by)
-    single = model_summary(forecasts, (*by, "model"), tolerance)
-    faults = sum((F.col(f"n_{c}") for c in ("missing_key_rows", "nonfinite_rows", "duplicate_pairs", "invalid_date_order", "inconsistent_rows")), F.lit(0))
-    faulty = single.groupBy(*by).agg(n_if(faults > 0).alias("n_faulty_models"))
+def alignment_checks(forecasts: DataFrame, models: list[str], reference: str, tolerance: float = 1e-10, by: tuple[str, ...] = (), rows_checked: bool = False) -> DataFrame:
+    """The check table over all models; differing origins and an unbalanced panel only warn.
+
+    rows_checked: single rows were found sound as they were written, so that of a model's own faults only repeated pairs are
+    left, which the one pass over the pairs finds as well.
+    """
+    seen = presence(forecasts, models, by)
+    if rows_checked:
+        seen = stored(seen, "presence")
+        again = [F.bool_or(f"again_{i}").cast("long") for i in range(len(models))]
+        faulty = seen.groupBy(*by).agg(sum(again[1:], again[0]).alias("n_faulty_models"))
+    else:
+        single = model_summary(forecasts, (*by, "model"), tolerance)
+        faults = sum((F.col(f"n_{c}") for c in ("missing_key_rows", "nonfinite_rows", "duplicate_pairs", "invalid_date_order", "inconsistent_rows")), F.lit(0))
+        faulty = single.groupBy(*by).agg(n_if(faults > 0).alias("n_faulty_models"))
+    key, parts = list(by), alignment_facts(seen, models, reference, tolerance, by)
     parts = parts.join(faulty, key) if key else parts.crossJoin(faulty)  # one row each
     none = lambda c: F.col(c) == 0
     # fixed values: consumers find checks by these names
@@ -272,16 +283,33 @@ def metadata_checks(forecasts: DataFrame, dimension: DataFrame, market: str, wit
     none = lambda c: F.col(c) == 0
     # fixed values: consumers find checks by these names
     checks = [
-        ("Metadata available in at least one model", _status(F.col("n_models") > 0, "WARNING"), "warning", _text("Models with metadata columns", F.col("n_models"))),
-        ("No missing metadata values", _status(none("n_missing")), "fatal", _text("Missing metadata values", F.col("n_missing"))),
-        ("Unique metadata per ticker within each model", _status(none("n_tickers_multiple")), "fatal", _text("Ticker-level internal metadata issues", F.col("n_tickers_multiple"))),
-        ("Expected market ticker", _status(F.col("market_ok")), "fatal", F.lit(f"Expected market ticker: {market}")),
-        ("Metadata consistent across models", _status(none("n_across")), "fatal", _text("Tickers with cross-model metadata mismatches", F.col("n_across"))),
-        ("Metadata consistent with reference table", _status(none("n_reference") & none("n_double")), "warning", _text("Reference mismatches", F.col("n_reference"))),
+        ("Metadata available in at least one model", _status(F.col("n_models") > 0, "WARNING"), "warning", _text("Models that carry metadata", F.col("n_models"))),
+        ("No missing metadata values", _status(none("n_missing")), "fatal", _text("Values missing", F.col("n_missing"))),
+        ("Unique metadata per ticker within each model", _status(none("n_tickers_multiple")), "fatal", _text("Tickers of several values", F.col("n_tickers_multiple"))),
+        ("Expected market ticker", _status(F.col("market_ok")), "fatal", F.lit(f"Market: {market}")),
+        ("Metadata consistent across models", _status(none("n_across")), "fatal", _text("Tickers on which models differ", F.col("n_across"))),
+        ("Metadata consistent with reference table", _status(none("n_reference") & none("n_double")), "warning", _text("Rows unlike the dimension", F.col("n_reference"))),
     ]
     return _rows(total, [], checks)
 
 
+def row_metrics(tolerance: float = 1e-10) -> dict[str, Column]:
+    """Counts of faulty rows that a write can observe as it goes, by the names of model_summary."""
+    order = F.coalesce(F.col("forecast_origin_date") >= F.col("target_date"), F.lit(True))
+    flags = {"n_missing_key_rows": missing_key(), "n_nonfinite_rows": nonfinite(), "n_invalid_date_order": order}
+    flags |= {f"n_{n}_mismatch": mismatch(d, tolerance) for n, d in differences().items()}
+    return {"n_rows": F.count(F.lit(1))} | {name: n_if(c) for name, c in flags.items()}
+
+
+def raise_if_observed(metrics: dict[str, int]) -> None:
+    """ValueError if a table was empty as it was written, or naming the counts of row_metrics that are not zero."""
+    if not metrics["n_rows"]:
+        raise ValueError("the forecast table is empty")
+    faults = {n: v for n, v in metrics.items() if n != "n_rows" and v}
+    if faults:
+        raise ValueError("; ".join(f"{n}: {v}" for n, v in faults.items()))
+
+
 def raise_if_fatal(checks: DataFrame) -> None:
     """ValueError naming fatal checks that failed; a check table has a few rows."""
     failed = [r.asDict() for r in checks.where("status = 'FAIL' AND severity = 'fatal'").collect()]

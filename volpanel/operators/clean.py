@@ -59,7 +59,7 @@ def day_gaps(bars: DataFrame, days: DataFrame) -> DataFrame:
     """(ticker, date, gap): longest run of missing bars between observations of a day; fewer than two give infinity."""
     seen = bars.where(F.col("close").isNotNull()).withColumn("hole", F.col("m") - F.lag("m").over(by_day()) - 1)
     per = seen.groupBy("ticker", "date").agg(F.max("hole").alias("hole"))
-    pairs = bars.select("ticker").distinct().crossJoin(F.broadcast(days.select("date").distinct()))  # a row per ticker and day
+    pairs = bars.select("ticker").distinct().crossJoin(days.select("date").distinct())  # a row per ticker and day
     return pairs.join(per, ["ticker", "date"], "left").select("ticker", "date", F.coalesce(F.col("hole").cast("double"), F.lit(INFINITY)).alias("gap"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from volpanel.functions.columns import blank, clean, finite
@@ -44,9 +44,15 @@ def sector_losses(by_ticker: DataFrame) -> DataFrame:
     return _means(by_ticker, *KEYS, "sector")
 
 
+def observed(panel: DataFrame, tolerance: float = 1e-10) -> tuple[DataFrame, Observation]:
+    """panel with counts of its faulty rows that come with the pass that writes it; ValueError for missing columns."""
+    seen = Observation()
+    return checks.require(panel, checks.REQUIRED).observe(seen, *(c.alias(n) for n, c in checks.row_metrics(tolerance).items())), seen
+
+
 def checked(panel: DataFrame, models: list[str], dimension: DataFrame, market: str, reference: str = "HAR", tolerance: float = 1e-10) -> DataFrame:
-    """panel, or ValueError at a fatal failure of columns, alignment or metadata; all training windows are checked together."""
-    checks.raise_if_fatal(checks.alignment_checks(checks.standard(panel), models, reference, tolerance, ("training_window",)))
+    """panel, whose rows were checked as they were written, or ValueError at a fatal failure of alignment or metadata; all training windows together."""
+    checks.raise_if_fatal(checks.alignment_checks(panel, models, reference, tolerance, ("training_window",), rows_checked=True))
     checks.raise_if_fatal(checks.metadata_checks(panel, dimension, market))
     return panel
 

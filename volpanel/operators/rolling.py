@@ -134,18 +134,19 @@ def window_decomposition(rows: DataFrame, length: int, least: int = 30) -> DataF
     over = lambda c: c.over(frame)
     # the fund less what the market explains of it over the whole series, so that windows near dependence lose no digits
     whole = F.coalesce(F.try_divide(F.covar_pop("s", "m").over(series), F.var_pop("m").over(series)), F.lit(0.0))
-    columns, rows = rows.columns, rows.withColumn("__whole", whole).withColumn("__fund", F.col("s"))
-    rows = rows.withColumn("__vf", over(F.var_pop("s"))).withColumn("s", F.col("s") - F.col("__whole") * F.col("m"))
+    columns, rows = rows.columns, rows.withColumns({"__whole": whole, "__vf": over(F.var_pop("s"))} | {f"__{v}0": F.avg(v).over(series) for v in "yms"} | {f"__{v}1": F.col(v) for v in "yms"})
+    rows = rows.withColumns({v: F.col(v) - F.col(f"__{v}0") for v in "yms"}).withColumn("s", F.col("s") - F.col("__whole") * F.col("m"))
     means = {v: over(F.avg(v)) for v in "yms"}
     vm, vs, sm, ym, ys = over(F.var_pop("m")), over(F.var_pop("s")), over(F.covar_pop("s", "m")), over(F.covar_pop("y", "m")), over(F.covar_pop("y", "s"))
     df = rows.select("*", over(F.count("*")).alias("n_decomposition_obs"), *(v.alias(f"__{k}") for k, v in means.items()), *(v.alias(n) for n, v in {"__vm": vm, "__vs": vs, "__sm": sm, "__ym": ym, "__ys": ys}.items()))
     c1, left = F.try_divide("__sm", "__vm"), F.col("__vs") - F.try_divide(F.col("__sm") * F.col("__sm"), F.col("__vm"))
-    df = df.withColumn("sector_beta_market_hat", c1 + F.col("__whole")).withColumn("sector_intercept_hat", F.col("__s") - c1 * F.col("__m")).withColumn("beta_market_hat", F.try_divide("__ym", "__vm"))
-    df = df.withColumn("alpha_hat", F.col("__y") - F.col("beta_market_hat") * F.col("__m"))
+    df = df.withColumn("sector_beta_market_hat", c1 + F.col("__whole")).withColumn("beta_market_hat", F.try_divide("__ym", "__vm"))
+    df = df.withColumn("sector_intercept_hat", F.col("__s") - c1 * F.col("__m") + F.col("__s0") - F.col("sector_beta_market_hat") * F.col("__m0"))
+    df = df.withColumn("alpha_hat", F.col("__y") + F.col("__y0") - F.col("beta_market_hat") * (F.col("__m") + F.col("__m0")))
     df = df.withColumn("beta_sector_hat", F.when(left > 1e-14 * F.col("__vf"), F.try_divide(F.col("__ys") - c1 * F.col("__ym"), left)))
     names = ["alpha_hat", "beta_market_hat", "beta_sector_hat", "sector_intercept_hat", "sector_beta_market_hat"]
     ok = (F.col("n_decomposition_obs") == length) & (F.col("n_decomposition_obs") >= least) & finite("beta_sector_hat") & finite("sector_beta_market_hat") & finite("beta_market_hat")
-    df = df.withColumn("s", F.col("__fund"))
+    df = df.withColumns({v: F.col(f"__{v}1") for v in "yms"})
     return df.select(*columns, "n_decomposition_obs", *(F.when(ok, F.col(n)).alias(n) for n in names))
 
 

@@ -97,11 +97,11 @@ ORACLE_SQL = {
     "faulty_model_checks": panels._sql(
         " UNION ALL ".join(
             [
-                "SELECT 'HAR' AS model, 'Required columns' AS check_name, 'PASS' AS status, 'fatal' AS severity, 'All required columns are available.' AS details",
-                _ZERO("Missing key values", "Rows with missing ticker or date keys", "0"),
-                _ZERO("Finite numerical values", "Rows with non-finite core numerical values", "ten"),
-                _ZERO("Duplicated ticker-date pairs", "Duplicated ticker-target-date pairs", "seven"),
-                _ZERO("Forecast origin before target date", "Rows with an origin not before the target date", "0"),
+                "SELECT 'HAR' AS model, 'Required columns' AS check_name, 'PASS' AS status, 'fatal' AS severity, 'Columns all there' AS details",
+                _ZERO("Missing key values", "Rows lacking a key", "0"),
+                _ZERO("Finite numerical values", "Rows with a number that is not finite", "ten"),
+                _ZERO("Duplicated ticker-date pairs", "Pairs met more than once", "seven"),
+                _ZERO("Forecast origin before target date", "Rows whose origin is no earlier than the target", "0"),
                 _ZERO("Error identity", "Error mismatches", "ten"),
                 _ZERO("Squared error identity", "Squared error mismatches", "ten"),
                 _ZERO("Absolute error identity", "Absolute error mismatches", "ten"),

@@ -46,7 +46,7 @@ def bad_benchmark_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 def eligible_tickers(spark: SparkSession, sf: str) -> DataFrame:
     p = panel(spark, sf)
-    return tickers(spark, sf, variance.without_tickers(p, ["FRANCE", "ETF_ASIA"]))
+    return tickers(spark, sf, variance.without_tickers(p, ["NATION_7", "ETF_ASIA"]))
 
 
 def har_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -348,7 +348,7 @@ _FORECAST = f"CAST(training_window AS INTEGER) AS training_window, forecast_orig
 ORACLE_SQL = {
     "bad_benchmark_dates": _sql("SELECT date FROM panel GROUP BY 1 HAVING count(x) < (SELECT count(DISTINCT ticker) FROM panel)", {}),
     "eligible_tickers": """SELECT n_name AS ticker, r_name AS sector, 'ETF_' || r_name AS sector_etf, 'MKT' AS market_ticker FROM nation JOIN region ON n_regionkey = r_regionkey
-        WHERE n_name <> 'FRANCE' AND r_name <> 'ASIA' AND n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem))""",
+        WHERE n_name <> 'NATION_7' AND r_name <> 'ASIA' AND n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem))""",
     "har_features": _sql(f"SELECT ticker, origin_date, target_date, {_rs(['target', 'daily', 'weekly', 'monthly'])} FROM har", _HAR),
     "harx_features": _sql(f"SELECT {_IDS}, origin_date, target_date, {_rs(['target', *_X])} FROM harx", _HARX),
     "rolling_baseline": _sql(f"SELECT ticker, date, {_r('x', 'log_rv')}, {_r(f'CASE WHEN count(x) OVER w = {BIG} THEN avg(x) OVER w END', 'baseline')} FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {BIG} PRECEDING AND 1 PRECEDING)", {}),
@@ -373,9 +373,9 @@ ORACLE_SQL = {
         " UNION ALL ".join(
             f"SELECT '{n}' AS check_name, {_PF.format(c, bad)} AS status, '{sev}' AS severity, {d} AS details FROM mf"
             for n, c, bad, sev, d in (
-                ("Metadata available in at least one model", "nm > 0", "WARNING", "warning", "'Models with metadata columns: ' || nm"), ("No missing metadata values", "nb = 0", "FAIL", "fatal", "'Missing metadata values: ' || nb"),
-                ("Unique metadata per ticker within each model", "ni = 0", "FAIL", "fatal", "'Ticker-level internal metadata issues: ' || ni"), ("Expected market ticker", "me", "FAIL", "fatal", "'Expected market ticker: MKT'"),
-                ("Metadata consistent across models", "nx = 0", "FAIL", "fatal", "'Tickers with cross-model metadata mismatches: ' || nx"), ("Metadata consistent with reference table", "nr = 0", "FAIL", "warning", "'Reference mismatches: ' || nr"),
+                ("Metadata available in at least one model", "nm > 0", "WARNING", "warning", "'Models that carry metadata: ' || nm"), ("No missing metadata values", "nb = 0", "FAIL", "fatal", "'Values missing: ' || nb"),
+                ("Unique metadata per ticker within each model", "ni = 0", "FAIL", "fatal", "'Tickers of several values: ' || ni"), ("Expected market ticker", "me", "FAIL", "fatal", "'Market: MKT'"),
+                ("Metadata consistent across models", "nx = 0", "FAIL", "fatal", "'Tickers on which models differ: ' || nx"), ("Metadata consistent with reference table", "nr = 0", "FAIL", "warning", "'Rows unlike the dimension: ' || nr"),
             )
         ),
         _ALL | {

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volpanel.functions.columns import require
+from volpanel.functions.columns import blank, require
+from volpanel.sources.steps import stored
 
 PAYLOAD = "ticker string, results array<struct<t: bigint, c: double>>"
 
@@ -25,14 +28,35 @@ SECTOR_FUNDS = [
 ]
 
 
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker, results, broken, delivery) of JSON payloads, a line each: broken holds a line that does not parse.
+
+    delivery orders payloads as they came: by their file's time and name, the place of the part that a task reads, the line in it.
+    """
+    rows = spark.read.schema(f"{PAYLOAD}, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+    file = lambda c: F.col(f"_metadata.{c}")
+    line = F.monotonically_increasing_id()  # grows along a part of a file, wherever it is read
+    return rows.select("*", F.struct(file("file_modification_time").alias("time"), file("file_path").alias("path"), file("file_block_start").alias("part"), line.alias("line")).alias("delivery"))
+
+
+def sound(payloads: DataFrame) -> DataFrame:
+    return payloads.where(F.col("broken").isNull() & ~blank("ticker")).drop("broken")
+
+
+def quarantined(payloads: DataFrame) -> DataFrame:
+    """(path, ticker, results, broken) of lines that do not parse or name no ticker; without results among them, a line whose results are none would parse."""
+    return payloads.where(F.col("broken").isNotNull() | blank("ticker")).select(F.col("delivery.path").alias("path"), "ticker", "results", "broken")
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(ticker, t, close) of landed JSON payloads; payloads without results give no rows."""
-    return exploded(spark.read.schema(PAYLOAD).json(path))
+    """(ticker, t, close, ingest_seq, delivery) of landed JSON payloads; payloads without results give no rows."""
+    return exploded(sound(landed(spark, path)))
 
 
 def exploded(payloads: DataFrame) -> DataFrame:
-    """(ticker, t, close, ingest_seq): ingest_seq is the place in its payload."""
-    return payloads.select("ticker", F.posexplode("results").alias("ingest_seq", "r")).select("ticker", F.col("r.t").alias("t"), F.col("r.c").alias("close"), "ingest_seq")
+    """(ticker, t, close, ingest_seq) and the delivery, if known: ingest_seq is the place in its payload."""
+    more = [c for c in ["delivery"] if c in payloads.columns]
+    return payloads.select("ticker", *more, F.posexplode("results").alias("ingest_seq", "r")).select("ticker", F.col("r.t").alias("t"), F.col("r.c").alias("close"), "ingest_seq", *more)
 
 
 def in_session(hour: Column, minute: Column, start: tuple[int, int] = (9, 30), end_hour: int = 16) -> Column:
@@ -44,7 +68,7 @@ def session_bars(raw: DataFrame, zone: str = "America/New_York") -> DataFrame:
     """(ticker, ts, date, close): epoch milliseconds as wall-clock time of the exchange, regular session only."""
     local = F.from_utc_timestamp(F.timestamp_millis("t"), zone)
     bars = raw.withColumn("ts", local).where(in_session(F.hour("ts"), F.minute("ts")))
-    return bars.select("ticker", "ts", F.to_date("ts").alias("date"), "close", *(c for c in ["ingest_seq"] if c in raw.columns))
+    return bars.select("ticker", "ts", F.to_date("ts").alias("date"), "close", *(c for c in ["ingest_seq", "delivery"] if c in raw.columns))
 
 
 def universe(primary: DataFrame, fallback: DataFrame, least: int = 400, symbol: str = "symbol") -> DataFrame:
@@ -60,8 +84,9 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def attach_sector(tickers: DataFrame, dimension: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """tickers with their sector by the dimension's first row of a ticker; unknown tickers keep NULL."""
-    known = first_rows(require(dimension, ["ticker", "sector"]), ["ticker"], order or ["sector"]).select("ticker", "sector")
+    """tickers with their sector by the dimension's first row of a ticker, as delivered if it has a delivery, else by sector; unknown tickers keep NULL."""
+    order = order or [c for c in ["delivery", "sector"] if c in dimension.columns]
+    known = first_rows(require(dimension, ["ticker", "sector"]), ["ticker"], order).select("ticker", "sector")
     return tickers.join(known, "ticker", "left")
 
 
@@ -73,6 +98,12 @@ def add_sector_fund(dimension: DataFrame, funds: DataFrame) -> DataFrame:
     return dimension.join(funds, "sector", "left")
 
 
+def dimension_of(primary: DataFrame, fallback: DataFrame, sectors: DataFrame, least: int = 400, order: list[str] | None = None) -> DataFrame:
+    """(ticker, sector, sector_etf) of the universe's tickers: lists of symbols, sectors of tickers, funds of sectors."""
+    names = universe(primary, fallback, least).select(F.col("symbol").alias("ticker"))
+    return add_sector_fund(attach_sector(names, sectors, order), sector_funds(primary.sparkSession)).select("ticker", "sector", "sector_etf")
+
+
 def full_universe(dimension: DataFrame, market: str) -> DataFrame:
     """(ticker): stocks, their distinct funds, and the market."""
     stocks = dimension.select("ticker")
@@ -96,9 +127,9 @@ def with_quarter(bars: DataFrame) -> DataFrame:
     return bars.withColumn("quarter", F.concat(F.year("date").cast("string"), F.lit("-Q"), F.quarter("date").cast("string")))
 
 
-def first_bars(bars: DataFrame, keys: tuple[str, ...] = ("ticker", "ts"), order: tuple[str, ...] = ("ingest_seq",)) -> DataFrame:
-    """One bar per ticker and time: the one that came first."""
-    return first_rows(bars, list(keys), list(order))
+def first_bars(bars: DataFrame, keys: tuple[str, ...] = ("ticker", "ts"), order: tuple[str, ...] = ("delivery", "ingest_seq")) -> DataFrame:
+    """One bar per ticker and time: the one that came first; between bars that came at once, the lower close."""
+    return first_rows(bars, list(keys), [*(c for c in order if c in bars.columns), "close"])
 
 
 def stack(chunks: list[DataFrame], keys: tuple[str, ...] = ("ticker", "ts")) -> DataFrame:
@@ -143,7 +174,47 @@ def missing_series(bars: DataFrame, required: DataFrame) -> DataFrame:
     return required.select("ticker").distinct().join(bars.select("ticker").distinct(), "ticker", "left_anti")
 
 
+def redelivered(path: str, patch: DataFrame, bad_share: float = 0.90, most: int = 200) -> DataFrame:
+    """The stored bars (ticker, date, ts, close) below path with bad ticker-days replaced in place; only touched dates' folders are rewritten.
+
+    A ticker-day is replaced by what patch (ticker, date, ts, close) has of it, if it is among the first bad ones of its quarter.
+    """
+    spark = patch.sparkSession
+    found = spark.read.parquet(path)
+    wanted = capped(bad_ticker_days(found, found, found.select("date", "ts").distinct(), bad_share), most)
+    patch = stored(patch.join(wanted, ["date", "ticker"], "left_semi").select("ticker", "date", "ts", "close"), "patch")
+    touched = found.join(patch.select("date").distinct(), "date", "left_semi")
+    fresh = stored(overlay(touched, touched, patch), "fresh")  # read before its folders are replaced
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    emptied = patch.select("date").distinct().join(fresh.select("date").distinct(), "date", "left_anti").collect()  # dates of which a patch leaves nothing: a few
+    for r in emptied:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={r.date}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.parquet(path)
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Bars go by date, loss panels by training_window and model."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def _table_name(path: str) -> str:
+    return "t_" + re.sub(r"\W", "_", path)
+
+
+def write_by_ticker(df: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """df as a table of buckets by ticker, a file each, sorted by ticker and date: windows and groups by ticker need no shuffle."""
+    name = _table_name(path)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    df.repartition(buckets, "ticker").write.mode("overwrite").bucketBy(buckets, "ticker").sortBy("ticker", "date").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def read_by_ticker(spark: SparkSession, path: str, buckets: int = 64) -> DataFrame:
+    """What write_by_ticker left below path, in another session too."""
+    name = _table_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{c}` {kind}" for c, kind in spark.read.parquet(path).dtypes)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}') CLUSTERED BY (ticker) SORTED BY (ticker, date) INTO {buckets} BUCKETS")
+    return spark.table(name)
