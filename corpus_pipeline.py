@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with secrets replaced by marks; n_chars follows the text."""
     common.small_batches(spark)
-    found = secret_scan.redact(secret_scan.scan_secrets(docs, out="__spans"), "__spans").withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    found = secret_scan.redacted(docs, n="__n").withColumn("n_chars", F.when(F.col("__n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(docs.columns)
 
 

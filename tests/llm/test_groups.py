@@ -168,17 +168,6 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
     assert near_vectors.near_duplicates(v.limit(0)).collect() == []
 
 
-def test_recall_on_the_given_table(spark):
-    import duckdb
-
-    table = "/root/testdata/sf0.01/embeddings.parquet"
-    x, lab = map(np.array, zip(*duckdb.sql(f"SELECT embedding, label FROM '{table}' ORDER BY vec_id").fetchall(), strict=True))
-    x = x.astype(float) / np.linalg.norm(x, axis=1, keepdims=True)
-    link = (x @ x.T >= 0.98) & (lab[:, None] == lab[None]) & ~np.eye(len(x), dtype=bool)
-    found = near_vectors.near_duplicates(spark.read.parquet(table), near_vectors.Settings(rows_a_list=16)).agg(F.sum("n_links")).first()[0]
-    assert 0.9 * link.sum() <= found <= link.sum()
-
-
 def test_near_vectors_of_low_dimension_lose_no_link(spark, monkeypatch):
     """Links that cross the borders of lists are found, and counted at both ends, at any number of lists."""
     monkeypatch.setattr(near_vectors, "CHUNK", 64)
@@ -244,3 +233,60 @@ def test_snapshots_collapse(spark):
     assert got[2][:2] == (4, 2) and got[4][0] == 3
     assert got[6] == (1, 1, "<|im_start|>unknown\n<|im_end|>\n") and got[None][2] == "<|im_start|>user\nlonely<|im_end|>\n"
     assert chat.collapse(df.limit(0)).collect() == []
+
+
+def test_rows_travel_to_the_bucket_that_they_name():
+    """Whatever the order in which a task gets its rows, each goes to the same bucket, and buckets fill evenly."""
+    from volpanel.llm.jaccard_postings import bucket_of
+
+    rng = np.random.default_rng(1)
+    home, doc, sets = rng.integers(0, 1 << 40, 5000), rng.integers(-5, 1 << 40, 5000), rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    order = rng.permutation(5000)
+    assert (bucket_of(50, home, doc, sets)[order] == bucket_of(50, home[order], doc[order], sets[order])).all()
+    assert np.bincount(bucket_of(50, home, doc, sets), minlength=50).min() > 50
+    same = bucket_of(50, rng.integers(0, 1 << 40, 5000), 0, 7)  # one text without an id, met by many holders
+    assert np.bincount(same, minlength=50).min() > 50 and ((same >= 0) & (same < 50)).all()
+
+
+def test_second_dealing_in_any_order(spark, monkeypatch):
+    """The second pass sends rows of two orders to the same buckets; nothing is lost or doubled, and documents from a shuffle are read once."""
+    from volpanel.llm import jaccard, jaccard_postings
+
+    monkeypatch.setattr(jaccard_postings, "FAN", 2)
+    monkeypatch.setattr(jaccard_postings, "BUCKET_BYTES", 400)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(120)
+    want = sorted(map(tuple, jaccard.linked_rows(docs.orderBy("doc_id")).collect()))
+    assert len(want) == 120 and want == sorted(map(tuple, jaccard.linked_rows(docs.repartition(5, "text")).collect()))
+    rows = jaccard_postings._dealt(docs.withColumn("mark", F.lit(None).cast("binary")), 0, 5, 2).where(F.col("kind") == jaccard_postings.DOCUMENT)
+    place = lambda df: sorted((r.doc_id, r.dest) for r in jaccard_postings._dealt_again(df, 40).collect())
+    rows = rows.persist()
+    assert place(rows.orderBy("doc_id")) == place(rows.orderBy(F.desc("doc_id")))
+
+
+def test_jaccard_leaves_the_tables_that_it_reads(spark):
+    """Of all stored steps two are left: the documents' rows and the names of sets."""
+    import os
+
+    from volpanel.llm import common, jaccard
+
+    folder = common.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = jaccard.linked_rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 2 and found.count() == 1000, left
+
+
+def test_vectors_without_an_id_link_with_nothing(spark):
+    x = [[1.0, 0.0], [1.0, 0.01], [1.0, 0.02]]
+    df = spark.createDataFrame([(None, x[0], 1), (1, x[1], 1), (2, x[2], 1), (None, x[0], 1)], "vec_id long, embedding array<float>, label int")
+    got = sorted(((r.vec_id, r.n_links) for r in near_vectors.near_duplicates(df).collect()), key=repr)
+    assert got == [(1, 1), (2, 1), (None, 0), (None, 0)]
+
+
+def test_long_conversations_and_null_ids(spark):
+    """A conversation of 3,000 turns, its snapshot of 2,000, and rows without an id, which are one conversation of their own."""
+    turns = [(t, "user", f"turn {t}") for t in range(3000)]
+    rows = [(1, *t) for t in turns] + [(2, *t) for t in turns[:2000]] + [(None, *t) for t in turns[:500]] + [(None, 9000, "user", "other")]
+    got = {r.conv_id: (r.n_turns, r.n_snapshots, len(r.rendered)) for r in chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    size = lambda ts: sum(len(f"<|im_start|>{r}\n{x}<|im_end|>\n") for _, r, x in ts)
+    assert got == {1: (3000, 1, size(turns)), None: (501, 1, size([*turns[:500], (0, "user", "other")]))}

@@ -159,3 +159,34 @@ def test_cut_spans_keeps_the_rest(spark):
     d = spark.createDataFrame([(1, "Before: one TWO, three! After.")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert decontaminate.cut_spans(d, b).first().text == "Before:  , ! After."
+
+
+def test_redaction_is_linear_and_equal_either_way(spark):
+    """32,000 secrets in one text of over a million characters: seconds, not minutes; overlapping spans, null and clean texts as by plain cutting."""
+    import time
+
+    long = "".join(f"word {i} password: hunter{i:06d} and then " for i in range(32_000))
+    both = "token=AKIA" + "Z" * 16 + " x " + "deadbeef" * 4
+    docs = spark.createDataFrame([(1, long), (2, both), (3, None), (4, "clean"), (5, "")], "doc_id long, text string").withColumn("n_chars", F.lit(0))
+    start = time.time()
+    got = {r.doc_id: (r.text, r.n_secrets) for r in secret_scan.redacted(docs).collect()}
+    assert time.time() - start < 10 and got[1][1] == 32_000 and got[1][0].count("[REDACTED:assign]") == 32_000 and "hunter" not in got[1][0]
+    apart = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.scan_secrets(docs)).collect()}
+    assert apart == {k: v[0] for k, v in got.items()} and got[2][0] == "[REDACTED:assign] x [REDACTED:hex]" and got[3] == (None, 0) and got[4] == ("clean", 0)
+
+
+def test_counts_keep_a_callers_columns(spark, tmp_path):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "some words", "mine", 7)], "doc_id long, text string, content_digest string, n_tokens int")
+    out = token_counts.count_tokens(docs, str(tmp_path / "cache"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    row = out.collect()[0]
+    assert sorted(out.columns) == ["content_digest", "doc_id", "n_tokens", "text"] and (row.content_digest, row.n_tokens) == ("mine", 2)
+
+
+def test_long_text_is_decontaminated(spark):
+    """60,000 words of which a benchmark item's 20 stand at the end; the cut takes these alone."""
+    item = " ".join(f"bench{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, " ".join(f"w{i % 997}" for i in range(60_000)) + " " + item)], "doc_id long, text string")
+    row = decontaminate.marked_rows(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()[0]
+    assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (60_020, 20, 1, False)

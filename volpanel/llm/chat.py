@@ -59,7 +59,7 @@ def rendered(turned: DataFrame) -> DataFrame:
 
 def collapse(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_snapshots, rendered) of the maximal conversations."""
-    turned = turns(conversations)
+    turned = stored(turns(conversations), "turns")  # full texts are ordered once
     kept = stored(maximal(turned), "maximal").withColumnRenamed("conv_id", "id")
     same = F.col("conv_id").eqNullSafe(F.col("id"))
     return rendered(turned.join(kept, same, "left_semi")).join(kept, same).select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_snapshots", "rendered")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from volpanel.sources.steps import shared_folder
+
 #: Documents that one Arrow batch holds: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 256
 #: Tokens of more characters are not remembered, so that a number of tokens bounds a worker's memory.
@@ -24,20 +24,9 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not re.match(r"local($|\[)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 #: Where stored tables lie, while their DataFrames are held.
@@ -64,6 +53,11 @@ def discard(*tables: DataFrame, part: str = "") -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df, or df stored if a shuffle makes it: rows of files come in the same order at every reading, those of a shuffle do not."""
+    return stored(df, "steady") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 0 after division by 5; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

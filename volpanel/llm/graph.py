@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -15,7 +15,7 @@ def _stars(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that edges (a, b) reach, for every node with an edge to another.
+    """(node, component), stored: the smallest node that edges (a, b) reach, for every node with an edge to another.
 
     Alternates two steps until the edges are stars around the smallest nodes: every node's larger neighbours are tied to its
     smallest neighbour, then its smaller ones. Neither makes more edges than it gets, and the rounds grow with the logarithm
@@ -29,11 +29,15 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "lowest")
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stored(large, "edges")
+        discard(edges, lowest)
         if _stars(large):
             edges = large
             break
         lowest = stored(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         small = large.join(lowest, "a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
         edges = stored(small.where("a <> b").distinct(), "edges")
+        discard(large, lowest)
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return found.union(edges.select(F.col("b"), F.col("b")).distinct())
+    whole = stored(found.union(edges.select(F.col("b"), F.col("b")).distinct()), "components")
+    discard(edges)
+    return whole

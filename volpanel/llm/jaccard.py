@@ -160,9 +160,10 @@ def star_links(ordered: DataFrame, blocks: DataFrame) -> DataFrame:
     chunks = stored(best.groupBy("centre").agg(chunks_of()), "chunks")
     members = best.join(chunks, "centre").select("set_id", "centre", F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("chunk"))
     centred = chunks.select(F.col("centre").alias("set_id"), "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    rows = stored(members.union(centred), "members").join(ordered, "set_id").select("centre", "chunk", "set_id", "size", "tokens", F.lit(2).alias("side"), F.col("set_id").alias("part"))
+    members = stored(members.union(centred), "members")
+    rows = members.join(ordered, "set_id").select("centre", "chunk", "set_id", "size", "tokens", F.lit(2).alias("side"), F.col("set_id").alias("part"))
     links = stored(rows.groupBy("centre", "chunk").applyInPandas(_chunk_links, "a long, b long"), "links")
-    discard(centres, best, chunks)
+    discard(centres, best, chunks, members)
     return links
 
 
@@ -182,9 +183,9 @@ def families(blocks: DataFrame, parts: DataFrame) -> DataFrame:
     tied = layered.groupBy("token", "layer").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("band").alias("top"), F.min("node").alias("centre"))
     tied = stored(tied.where("lo <> hi AND top = layer").select("token", "layer", "centre"), "tied")  # pairs of the lower band alone are the layer's below
     members = layered.join(tied, ["token", "layer"])
-    found = stored(graph.components(members.select(F.col("node").alias("a"), F.col("centre").alias("b"))), "families")
-    found = stored(members.select("node", "set_id", "size").distinct().join(found, "node").select("set_id", "size", F.col("component").alias("family")), "families")
-    discard(mixed, layered, tied)
+    tops = graph.components(members.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    found = stored(members.select("node", "set_id", "size").distinct().join(tops, "node").select("set_id", "size", F.col("component").alias("family")), "families")
+    discard(mixed, layered, tied, tops)
     return found
 
 
@@ -196,15 +197,15 @@ def family_links(ordered: DataFrame, family: DataFrame, parts: DataFrame) -> Dat
     dealt = placed.select("set_id", "family", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).select(
         "set_id", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")
     )
-    rows = stored(dealt, "dealt").join(ordered, "set_id").join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
-    return rows.select("family", "i", "j", "set_id", "size", "tokens", "side", "part").groupBy("family", "i", "j").applyInPandas(_chunk_links, "a long, b long")
-
+    dealt = stored(dealt, "dealt")
+    rows = dealt.join(ordered, "set_id").join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
+    links = stored(rows.select("family", "i", "j", "set_id", "size", "tokens", "side", "part").groupBy("family", "i", "j").applyInPandas(_chunk_links, "a long, b long"), "links")
+    discard(chunks, dealt)
+    return links
 
-def join_documents(docs: DataFrame, n: int = 5, mark: Column | None = None) -> DataFrame:
-    """(doc_id, n_shingles, set_id, part, component_id, digest), one row per row of docs.
 
-    part is the component's key; component_id is the smallest doc_id reachable by links; digest is what `mark` gave of the row.
-    """
+def joined(docs: DataFrame, n: int = 5, mark: Column | None = None) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """join_documents, and the stored tables that it reads: all others are deleted."""
     seed, docs = 0, docs.withColumn("mark", F.lit(None).cast("binary") if mark is None else mark)
     while True:  # ids are half of the digests: should two digests share one, others are drawn
         found = stored(shared_shingles(docs, seed, n), "shingles", by="kind")
@@ -213,20 +214,33 @@ def join_documents(docs: DataFrame, n: int = 5, mark: Column | None = None) -> D
         classes = stored(classes, "classes")
         if classes.where("lo <> hi").isEmpty():
             break
+        discard(found, classes)
         seed += 1
     ordered = stored(ordered_sets(found), "ordered")
     discard(found, part=f"kind={SET}")
     blocks = stored(blocks_of(ordered), "blocks")
     stars = star_links(ordered, blocks)
-    parts = stored(graph.components(stars).select(F.col("node").alias("set_id"), F.col("component").alias("part")), "parts")
-    rest = stored(family_links(ordered, families(blocks, parts), parts), "links")
-    linked = graph.components(stars.union(rest)).select(F.col("node").alias("set_id"), F.col("component").alias("part"))
-    named = classes.select("set_id", "doc_id").join(linked, "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
+    part_of = lambda df: df.select(F.col("node").alias("set_id"), F.col("component").alias("part"))
+    starred = graph.components(stars)
+    family = families(blocks, part_of(starred))
+    rest = family_links(ordered, family, part_of(starred))
+    discard(ordered, blocks, family, starred)
+    linked = graph.components(stars.union(rest))
+    named = classes.select("set_id", "doc_id").join(part_of(linked), "set_id", "left").withColumn("part", F.coalesce("part", "set_id"))
     named = stored(named, "named")
     firsts = stored(named.groupBy("part").agg(F.min("doc_id").alias("component_id")), "firsts")
     names = stored(named.join(firsts, "part").select("set_id", "part", "component_id"), "names")
-    discard(ordered, blocks, stars, parts, rest, named, firsts)
-    return rows.join(names, "set_id", "left").select("doc_id", "n_shingles", "set_id", "part", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("mark").alias("digest"))
+    discard(stars, rest, linked, classes, named, firsts)
+    out = rows.join(names, "set_id", "left").select("doc_id", "n_shingles", "set_id", "part", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("mark").alias("digest"))
+    return out, (found, names)
+
+
+def join_documents(docs: DataFrame, n: int = 5, mark: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, set_id, part, component_id, digest), one row per row of docs.
+
+    part is the component's key; component_id is the smallest doc_id reachable by links; digest is what `mark` gave of the row.
+    """
+    return joined(docs, n, mark)[0]
 
 
 def linked_rows(docs: DataFrame) -> DataFrame:
@@ -243,11 +257,12 @@ def keep_first(docs: DataFrame, n: int = 5, broadcast_bytes: int = 64 << 20) ->
     are shuffled to those keys.
     """
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))))
-    rows = join_documents(docs.select("doc_id", "text"), n, key)
+    rows, read = joined(docs.select("doc_id", "text"), n, key)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))
     keys = stored(rows.where("set_id IS NOT NULL").groupBy("part", "doc_id", "digest").agg(F.count("*").alias("n")), "keys")
     first = keys.groupBy("part").agg(F.min_by("digest", order).alias("first"))
     judged = stored(keys.join(first, "part").where("n > 1 OR digest <> first").select(F.col("digest").alias("__key"), (F.col("digest") == F.col("first")).alias("again")), "judged")
+    discard(keys, *read)
     fits = 64 * judged.count() <= broadcast_bytes
     near = lambda df: F.broadcast(df) if fits else df
     keyed = docs.withColumn("__key", key)

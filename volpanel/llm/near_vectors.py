@@ -279,7 +279,7 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings()) -> Data
     else:
         found = stored(links(classes, index), "links")
         counts = stored(found.groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "class"), "counts")
-        parts = stored(graph.components(found.select("a", "b")).select(F.col("node").alias("class"), F.col("component").alias("part")), "parts")
+        parts = graph.components(found.select("a", "b")).select(F.col("node").alias("class"), F.col("component").alias("part"))
         whole = classes.select("class", "vec_id", "n").join(counts, "class", "left").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
         whole = stored(whole, "whole")
         firsts = stored(whole.groupBy("part").agg(F.min("vec_id").alias("component_id")), "firsts")

@@ -377,17 +377,37 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, text:
     return docs.withColumn(out, secret_spans(F.col(text), rules))
 
 
+def cut_out(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """text with each span replaced by [REDACTED:kind], in one pass; of overlapping spans the first wins."""
+    parts, at = [], 0
+    for kind, start, end in spans:
+        if start >= at:
+            parts += [text[at:start], f"[REDACTED:{kind}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
 def redact(docs: DataFrame, spans: str = "secrets", text: str = "text") -> DataFrame:
     """Replaces each span of `text` by [REDACTED:kind]; of overlapping spans the first wins. Null texts stay null."""
-    kept = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
-        lambda acc, x: F.when(x["start"] < acc["at"], F.struct(acc["done"].alias("done"), F.greatest(acc["at"], x["end"]).alias("at"))).otherwise(
-            F.struct(F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit("[REDACTED:"), x["kind"], F.lit("]")).alias("done"), x["end"].alias("at"))
-        ),
-        lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
-    )
-    return docs.withColumn(text, F.when(F.size(spans) > 0, kept).otherwise(F.col(text)))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([x if x is None or f is None or not len(f) else cut_out(x, [(r["kind"], r["start"], r["end"]) for r in f]) for x, f in zip(texts, found, strict=True)], dtype=object)
+
+    return docs.withColumn(text, cut(F.col(text), F.col(spans)))
+
+
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, text: str = "text", n: str = "n_secrets") -> DataFrame:
+    """docs with its secrets cut out of `text` where they are found, and their number in `n`: texts go to the workers once."""
+
+    @F.pandas_udf("text string, n int")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        spans = scanner(rules).spans
+        for texts in batches:
+            found = [spans(t) for t in texts]
+            yield pd.DataFrame({"text": [cut_out(t, f) if f else t for t, f in zip(texts, found, strict=True)], "n": [len(f) for f in found]})
+
+    return docs.withColumn("__scanned", scan(F.col(text))).withColumn(text, F.col("__scanned.text")).withColumn(n, F.col("__scanned.n")).drop("__scanned")
 
 
 def digest_rows(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:

@@ -123,9 +123,11 @@ def with_counts(keyed: DataFrame, cache: str, path: str) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, cache: str, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens; its cache is filled first. The join moves all columns of docs: select those needed before."""
+    """docs with n_tokens, in place of a column of that name; its cache is filled first. The join moves all columns of docs: select those needed before."""
     fill_cache(docs, cache, path, pattern, text)
-    return with_counts(docs.withColumn("content_digest", content_digest(F.col(text))), cache, path)
+    digests = docs.select(*(F.col(c).alias("__own_digest" if c == "content_digest" else c) for c in docs.columns if c != "n_tokens"))
+    out = with_counts(digests.withColumn("content_digest", content_digest(F.col(text))), cache, path)
+    return out.withColumnRenamed("__own_digest", "content_digest")
 
 
 def count_rows(docs: DataFrame, cache: str, path: str, pattern: str, limit: int = 1024) -> DataFrame:
