@@ -89,6 +89,23 @@ def test_sentencepiece_equals_library(spark):
     assert early + stream.finish() == library.encode(long) and stream.width < 8 * codec.v.longest and len(early) > 0.99 * len(library.encode(long))
 
 
+def test_commits_at_convergence_over_whole_documents(spark):
+    """Whole texts through the bounded window, without a cut at words: what is committed where all paths meet are the library's ids."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library, v = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_stream.Codec(path).v
+    texts = [r.text for r in common.read(spark, "/root/testdata/sf0.001", "documents").collect()] + [t for t in AWKWARD if t]
+    early = total = 0
+    for text in texts:
+        stream = sentencepiece_stream.Stream(v)
+        sure = stream.push(("\u2581" + text).replace(" ", "\u2581"))
+        ids = library.encode(text)
+        assert sure + stream.finish() == ids and stream.width < 8 * v.longest
+        early, total = early + len(sure), total + len(ids)
+    assert early > 0.8 * total
+
+
 def test_sentencepiece_columns(spark):
     path, docs = P.path("piece_bpe_32k.model"), awkward(spark)
     back = sentencepiece_stream.encode_docs(docs, path).withColumn("back", sentencepiece_stream.decode(F.col("ids"), path))
@@ -161,6 +178,34 @@ def test_cut_spans_keeps_the_rest(spark):
     assert decontaminate.cut_spans(d, b).first().text == "Before:  , ! After."
 
 
+def test_cut_spans_equals_a_plain_cut(spark):
+    """Overlapping and touching occurrences, repeated rows, null and word-less texts."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["A", "b", "c,", "\u00e9", "--", "d."]) for _ in range(rnd.randint(0, 60))) for _ in range(60)] + [None, "", "...", "a b"]
+    items = ["a b", "b c b", "c", "\u00e9 a b c d"] + [" ".join(rnd.choice("abcd") for _ in range(14)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    for chosen in (items[1:2], items):
+        cut = {r.doc_id: r.text for r in decontaminate.cut_spans(docs, spark.createDataFrame(list(enumerate(chosen)), "item_id long, text string")).collect()}
+        for i, text in enumerate(texts):
+            found, hit = words(text), set()
+            for item in map(words, chosen):
+                wins = [item[j : j + 13] for j in range(max(1, len(item) - 12))]
+                hit |= {k + o for win in wins for k in range(len(found) - len(win) + 1) if found[k : k + len(win)] == win for o in range(len(win))}
+            count = iter(range(len(found)))
+            assert cut[i] == (None if text is None else re.sub(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lambda m: "" if next(count) in hit else m[0], text))
+
+
+def test_cut_spans_of_a_wholly_contaminated_text(spark):
+    """A span starts at each of 20,000 words: seconds, not words times spans."""
+    import time
+
+    item = " ".join(f"w{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, item + " and more")], "doc_id long, text string")
+    start = time.time()
+    assert decontaminate.cut_spans(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).first().text.split() == ["and", "more"]
+    assert time.time() - start < 60
+
+
 def test_redaction_is_linear_and_equal_either_way(spark):
     """32,000 secrets in one text of over a million characters: seconds, not minutes; overlapping spans, null and clean texts as by plain cutting."""
     import time

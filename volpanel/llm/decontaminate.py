@@ -112,10 +112,15 @@ def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, one_i
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """docs with the hit words cut from text; what parts the words stays, and texts without hits stay as they are."""
     raw = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    hit = lambda i: F.exists("__spans", lambda s: (s["first"] <= i) & (i <= s["last"]))
-    kept = F.transform(F.regexp_extract_all("text", F.lit(raw), F.lit(0)), lambda w, i: F.when(hit(i), F.lit("")).otherwise(w))
+    hit = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["first"], s["last"]))))
+    every = F.sequence(F.lit(0), F.col("__n_words").cast("int") - 1)
+    # words that stay and gaps in the words' order: neither looks through the spans, of which a text can have one a word
+    bound = F.struct(F.regexp_extract_all("text", F.lit(raw), F.lit(0)).alias("words"), hit.alias("hit"), F.array_except(every, hit).alias("kept"))
+    at = lambda i, w: F.struct(i.alias("at"), w.alias("word"))
+    placed = lambda x: F.array_sort(F.concat(F.transform(x["kept"], lambda i: at(i, F.get(x["words"], i))), F.transform(x["hit"], lambda i: at(i, F.lit("")))))
+    left = F.transform(F.get(F.transform(F.array(bound), placed), F.lit(0)), lambda x: x["word"])  # an array of one binds what is used twice
     between = F.split("text", raw)
-    whole = F.array_join(F.zip_with(between, F.concat(kept, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    whole = F.array_join(F.zip_with(between, F.concat(left, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     return _judged(docs, benchmark, n, 20).withColumn("text", F.when(F.col("__n_hit") > 0, whole).otherwise(F.col("text"))).drop(*RESULTS)
 
 
