@@ -108,10 +108,10 @@ def fill_cache(docs: DataFrame, cache: str, path: str, pattern: str, text: str =
     tokenizer = tokenizer_digest(path)
     contents = docs.select(content_digest(F.col(text)).alias("content_digest"), normalised(F.col(text)).alias("text"))
     known = cached(docs.sparkSession, cache, tokenizer)
-    if not known.isEmpty():  # digests first: only texts that the cache lacks are moved
+    misses = contents.groupBy("content_digest").agg(F.first("text").alias("text"))  # copies become one row before they are moved
+    if not known.isEmpty():  # digests first: few missing ones filter the texts where they lie, and only missing texts are encoded
         missing = common.stored(contents.select("content_digest").distinct().join(known, "content_digest", "left_anti"), "missing")
-        contents = contents.join(missing, "content_digest", "left_semi")
-    misses = contents.groupBy("content_digest").agg(F.first("text").alias("text"))
+        misses = misses.join(missing, "content_digest", "left_semi")
     encode_misses(misses, path, pattern).select("content_digest", F.lit(tokenizer).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
 
 
