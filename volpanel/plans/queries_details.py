@@ -56,6 +56,13 @@ def faulty_model_checks(spark: SparkSession, sf: str) -> DataFrame:
     return checks.model_checks(checks.model_summary(_faulty(spark, sf).withColumn("model", F.lit("HAR"))))
 
 
+def faulty_model_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """How many identities the faulty forecasts break, and by how much at the most; days without a forecast count but have no size."""
+    names = list(checks.differences())
+    found = checks.model_summary(_faulty(spark, sf).withColumn("model", F.lit("HAR")))
+    return found.select("model", *(f"n_{n}_mismatch" for n in names), *(f"max_{n}_difference" for n in names)).transform(rounded)
+
+
 def universe_difference_rows(spark: SparkSession, sf: str) -> DataFrame:
     by = ("training_window",)
     return checks.universe_differences(checks.presence(panels.losses(spark, sf), panels.MODELS, by), panels.MODELS, "HAR", "pair", by)
@@ -87,6 +94,7 @@ _FAULTY = panels._HAR_F | {
 _NUMBERS = [c for c in checks.NUMBERS if c != "forecast"]
 _rs = lambda names: ", ".join(_r(n) for n in names)
 _ZERO = lambda name, label, count: f"SELECT 'HAR' AS model, '{name}' AS check_name, CASE WHEN {count} = 0 THEN 'PASS' ELSE 'FAIL' END AS status, 'fatal' AS severity, '{label}: ' || {count} AS details FROM counts"
+_IDENTITIES = {"error": "actual - forecast", "squared_error": "pow(actual - forecast, 2)", "absolute_error": "abs(actual - forecast)", "qlike": "exp(actual - forecast) - (actual - forecast) - 1"}
 ORACLE_SQL = {
     "forecast_types": panels._sql(
         f"SELECT ticker, CASE WHEN day(target_date) <> 4 THEN forecast_origin_date END AS forecast_origin_date, target_date, {_r('CASE WHEN day(target_date) <> 3 THEN forecast END', 'forecast')}, {_rs(_NUMBERS)} FROM clean_", _FAULTY
@@ -110,6 +118,10 @@ ORACLE_SQL = {
         ),
         _FAULTY | {"counts": "SELECT count(*) FILTER (day(target_date) = 10) AS ten, count(*) FILTER (day(target_date) = 7) AS seven, count(*) FILTER (day(target_date) = 5) AS five FROM clean_"},
     ),
+    "faulty_model_differences": panels._sql(
+        "SELECT 'HAR' AS model, " + ", ".join(f"count(*) FILTER (day(target_date) = 10{' OR day(target_date) = 5' if n == 'qlike' else ''}) AS n_{n}_mismatch, {_r(f'max(abs({n} - ({e})))', f'max_{n}_difference')}" for n, e in _IDENTITIES.items()) + " FROM faulty",
+        _FAULTY,
+    ),
     "universe_difference_rows": panels._sql(
         """SELECT CAST(training_window AS INTEGER) AS training_window, ticker, target_date, model, CASE WHEN i0 THEN 'missing' ELSE 'extra' END AS kind
         FROM (SELECT *, 'HAR-X' AS model, i1 AS i FROM seen UNION ALL SELECT *, 'RELATIVE', i2 FROM seen) WHERE i <> i0""",

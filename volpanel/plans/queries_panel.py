@@ -347,8 +347,10 @@ _KINDS = {"mse": "MSE", "mae": "MAE", "qlike": "QLIKE"}
 _FORECAST = f"CAST(training_window AS INTEGER) AS training_window, forecast_origin_date, target_date, {_rs(_COLS)}"
 ORACLE_SQL = {
     "bad_benchmark_dates": _sql("SELECT date FROM panel GROUP BY 1 HAVING count(x) < (SELECT count(DISTINCT ticker) FROM panel)", {}),
-    "eligible_tickers": """SELECT n_name AS ticker, r_name AS sector, 'ETF_' || r_name AS sector_etf, 'MKT' AS market_ticker FROM nation JOIN region ON n_regionkey = r_regionkey
-        WHERE n_name <> 'NATION_7' AND r_name <> 'ASIA' AND n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem))""",
+    "eligible_tickers": _sql(
+        "SELECT ticker, sector, sector_etf, 'MKT' AS market_ticker FROM pdim WHERE ticker IN (SELECT ticker FROM have) AND sector_etf IN (SELECT ticker FROM have)",
+        {"have": "SELECT DISTINCT ticker FROM panel WHERE ticker NOT IN ('NATION_7', 'ETF_ASIA')"},
+    ),
     "har_features": _sql(f"SELECT ticker, origin_date, target_date, {_rs(['target', 'daily', 'weekly', 'monthly'])} FROM har", _HAR),
     "harx_features": _sql(f"SELECT {_IDS}, origin_date, target_date, {_rs(['target', *_X])} FROM harx", _HARX),
     "rolling_baseline": _sql(f"SELECT ticker, date, {_r('x', 'log_rv')}, {_r(f'CASE WHEN count(x) OVER w = {BIG} THEN avg(x) OVER w END', 'baseline')} FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {BIG} PRECEDING AND 1 PRECEDING)", {}),

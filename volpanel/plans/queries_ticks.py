@@ -125,6 +125,11 @@ def signature_by_ticker(spark: SparkSession, sf: str) -> DataFrame:
     return _by(spark, sf).transform(rounded)
 
 
+def signature_of_tickers(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the tickers asked for, those that exist."""
+    return signature.signature(days(spark, sf), INTERVALS, ["T1", "T5", "T99"], least_days=LEAST_DAYS).transform(rounded)
+
+
 def signature_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return _ratios(spark, sf).select("ticker", "sector", "interval_minutes", "mean_rv", "plateau_rv", "rv_ratio").transform(rounded)
 
@@ -164,6 +169,8 @@ _SUM = f"""{_R('median(rv_ratio)', 'median_ratio')}, {_R('avg(rv_ratio)', 'mean_
   {_R('stddev_samp(rv_ratio)', 'sd_ratio')}, count(DISTINCT ticker) AS n_tickers"""
 _DAILY = [f"CASE WHEN n_days >= {LEAST_DAYS} THEN {c} END" for c in ("mean_rv", "median_daily_rv", "p10_daily_rv", "p25_daily_rv", "p75_daily_rv", "p90_daily_rv", "avg_n_blocks")]
 _NAMES = ("mean_rv", "median_daily_rv", "p10_daily_rv", "p25_daily_rv", "p75_daily_rv", "p90_daily_rv", "avg_n_blocks")
+_STATED = "SELECT ticker, interval_minutes, n_days, " + ", ".join(_R(e, n) for e, n in zip(_DAILY, _NAMES, strict=True)) + " FROM stats"
+_STATS_ONLY = {k: v for k, v in _SIG.items() if k not in ("plateau", "ratios")}
 
 ORACLE_SQL = {
     "session_filter": fx.sql(f"SELECT ticker, date, count(*) AS n, {_R('sum(close)', 'total')} FROM trades WHERE (hour(ts) > 9 OR (hour(ts) = 9 AND minute(ts) >= 30)) AND hour(ts) < 16 GROUP BY 1, 2", "trades"),
@@ -214,7 +221,8 @@ ORACLE_SQL = {
         "rets",
         more=_RV,
     ),
-    "signature_by_ticker": fx.sql("SELECT ticker, interval_minutes, n_days, " + ", ".join(_R(e, n) for e, n in zip(_DAILY, _NAMES, strict=True)) + " FROM stats", "rets", more={k: v for k, v in _SIG.items() if k not in ("plateau", "ratios")}),
+    "signature_by_ticker": fx.sql(_STATED, "rets", more=_STATS_ONLY),
+    "signature_of_tickers": fx.sql(f"{_STATED} WHERE ticker IN ('T1', 'T5')", "rets", more=_STATS_ONLY),
     "signature_ratio": fx.sql(f"SELECT ticker, sector, interval_minutes, {_R('mean_rv', 'mean_rv')}, {_R('plateau_rv', 'plateau_rv')}, {_R('rv_ratio', 'rv_ratio')} FROM ratios", "rets", "dim", more=_SIG),
     "signature_interval_summary": fx.sql(f"SELECT interval_minutes, {_SUM} FROM ratios GROUP BY 1", "rets", "dim", more=_SIG),
     "signature_sector_summary": fx.sql(
